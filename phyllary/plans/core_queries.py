@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phyllary.operators.packed import known_values, split_packed
+from phyllary.operators.proximity import pairs_within
 from phyllary.operators.timestamps import normalise_times
 from phyllary.operators.units import normalise_altitudes
 from phyllary.session import table
@@ -15,6 +17,28 @@ def _sources(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return F.broadcast(table(spark, d, "source_profiles").select("source", *columns))
 
 
+def known_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names that stand alone: every determiner (that field has one), and collectors' fields without a mark."""
+    records = table(spark, d, "specimen_records")
+    one = records.select(F.trim("identified_by").alias("value")).where("value <> ''").distinct()
+    return one.union(known_values(records, "recorded_by", "name")).distinct()
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "specimen_records").select(F.lit("specimen_records").alias("table_name"), F.col("seq").alias("row_id"), F.lit("recorded_by").alias("field_name"), F.col("recorded_by").alias("text"))
+    candidates = table(spark, d, "coordinate_candidates")
+    fields = [
+        candidates.select(F.lit("coordinate_candidates").alias("table_name"), F.col("cand_seq").alias("row_id"), F.lit(name).alias("field_name"), F.col(name).alias("text"))
+        for name in ("source_urls", "detected_languages")
+    ]
+    parts = [
+        split_packed(records, "text", "name", known_names(spark, d)),
+        split_packed(fields[0], "text", "address"),
+        split_packed(fields[1], "text", "language", known_values(candidates, "detected_languages", "language")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("text")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "specimen_records").select("source", F.lit("specimen_records").alias("table_name"), F.col("seq").alias("row_id"), F.col("event_date").alias("text"))
     records = records.join(_sources(spark, d, "time_zone", "date_order"), "source", "left").drop("source")
@@ -30,6 +54,12 @@ def p2_status_counts(spark: SparkSession, d: str) -> DataFrame:
     return normalise_times(records, "event_date", "date_order", "time_zone").groupBy("source", "time_status").agg(F.count("*").alias("n"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "specimen_records")
+    candidates = table(spark, d, "coordinate_candidates")
+    return pairs_within(records, candidates, "seq", "cand_seq", ("decimal_latitude", "decimal_longitude"), ("candidate_latitude", "candidate_longitude"), 500.0)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "specimen_records").select("source", F.lit("specimen_records").alias("table_name"), F.col("seq").alias("row_id"), F.col("elevation").alias("text"))
     records = records.join(_sources(spark, d, "elevation_unit"), "source", "left").drop("source")
@@ -38,4 +68,4 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return out.where(F.col("low_m").isNotNull() & ~F.col("text").rlike(r"^-?\d+ m$")).select("table_name", "row_id", "low_m", "high_m")
 
 
-QUERIES = {"p2_found": p2_found, "p2_status_counts": p2_status_counts, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_status_counts": p2_status_counts, "p3_found": p3_found, "p5_found": p5_found}
