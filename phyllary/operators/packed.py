@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,10 +29,11 @@ def known_values(df: DataFrame, text: str, kind: str) -> DataFrame:
 
 
 def _splitter(kind: str, known):
+    token = uuid.uuid4().hex
+
     def split(texts: pd.Series) -> pd.Series:
-        key = (kind, id(known)) if known is None else (kind, known.id if hasattr(known, "id") else id(known))
-        if _worker.get("key") != key:
-            _worker.update(key=key, automaton=automaton(known.value) if known is not None else None)
+        if _worker.get("token") != token:
+            _worker.update(token=token, automaton=automaton(known.value) if known is not None else None)
         memo: dict = {}
         a = _worker["automaton"]
         out = []
