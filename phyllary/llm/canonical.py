@@ -233,7 +233,7 @@ _worker: dict = {}
 
 
 def resolver(spark, entries: list[tuple]):
-    """A vectorised function (kind, text, owner) -> struct(entry_id, distance, status); each worker builds the tries once."""
+    """A vectorised function (kind, text, owner) -> struct(entry_id, distance, status, listed); each worker builds the tries once."""
     sent, token = spark.sparkContext.broadcast(entries), uuid.uuid4().hex
 
     def resolve(kind: pd.Series, text: pd.Series, owner: pd.Series) -> pd.DataFrame:
@@ -245,9 +245,10 @@ def resolver(spark, entries: list[tuple]):
                 memo[key] = reference.resolve(*key) if key[1] and key[1].strip() else (None, None, "blank")
             out.append(memo[key])
         frame = pd.DataFrame(out, columns=["entry_id", "distance", "status"])
+        frame["listed"] = [reference.listed.get(e) for e, _, _ in out]
         return frame.astype({"entry_id": "Int64", "distance": "Int32"})
 
-    return F.pandas_udf(resolve, "struct<entry_id:long,distance:int,status:string>")
+    return F.pandas_udf(resolve, "struct<entry_id:long,distance:int,status:string,listed:string>")
 
 
 def map_to_list(df: DataFrame, fields: dict[str, str], entries: DataFrame, owner: str | None = None) -> DataFrame:

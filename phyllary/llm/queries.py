@@ -6,11 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phyllary.llm.canonical import map_to_list
+from phyllary.llm.survivors import Bundle, catalogue_key, choose_survivors, names_place, usable_latitude
 from phyllary.session import table
 
 PLACE_FIELDS = {"country": "country", "state_province": "state_province", "institution_code": "institution_code"}
 
 
+def _grouped(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Records with their catalogue key and the trust rank of their source (24 sources, one row each)."""
+    records = table(spark, d, "specimen_records").select("seq", "source", "institution_code", "catalog_number", "accessed_at", *columns)
+    ranks = F.broadcast(table(spark, d, "source_profiles").select("source", "trust_rank"))
+    return catalogue_key(records, table(spark, d, "canonical_entries")).where("number is not null").join(ranks, "source", "left")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    bundles = [Bundle("decimal_latitude", ["decimal_latitude"], usable_latitude(F.col("decimal_latitude"))), Bundle("locality", ["locality"], names_place(F.col("locality")))]
+    chosen = choose_survivors(_grouped(spark, d, "decimal_latitude", "locality"), ["holder", "number"], bundles, "trust_rank", "accessed_at", "seq")
+    fields = F.explode(F.array(*[F.struct(F.lit(b.name).alias("field_name"), F.col(f"{b.name}_seq").alias("seq")) for b in bundles])).alias("f")
+    return chosen.select("group_seq", fields).select("group_seq", "f.field_name", "f.seq").where("seq is not null")
+
+
+def p4_bundles(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving bundles of each specimen: places together, coordinates together, gathering together; a locality goes only with a
+    country and state that a record gives it."""
+
+    def any_filled(*columns: str):
+        return F.length(F.trim(F.concat_ws("", *columns))) > 0
+
+    bundles = [
+        Bundle("locality", ["locality"], names_place(F.col("locality"))),
+        Bundle("region", ["country", "state_province"], any_filled("country", "state_province")),
+        Bundle("coordinates", ["decimal_latitude", "decimal_longitude"], usable_latitude(F.col("decimal_latitude"))),
+        Bundle("gathering", ["recorded_by", "record_number", "event_date"], any_filled("recorded_by", "event_date")),
+    ]
+    columns = [c for b in bundles for c in b.columns]
+    return choose_survivors(_grouped(spark, d, *columns), ["holder", "number"], bundles, "trust_rank", "accessed_at", "seq", [("locality", "region")])
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "specimen_records").select("seq", *PLACE_FIELDS)
     mapped = map_to_list(records, PLACE_FIELDS, table(spark, d, "canonical_entries"), "country")
@@ -24,5 +56,5 @@ def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return mapped.where("map_status in ('none', 'ambiguous')").groupBy("field_name", "field_text", "map_status").agg(F.count("*").alias("n"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_unmatched": p7_unmatched}
+QUERIES = {"p4_found": p4_found, "p4_bundles": p4_bundles, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
 SQL: dict[str, str] = {}
