@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phyllary.llm.canonical import map_to_list
+from phyllary.llm.name_variants import link_names, variant_pairs
 from phyllary.llm.survivors import Bundle, catalogue_key, choose_survivors, names_place, usable_latitude
-from phyllary.session import table
+from phyllary.operators.packed import split_packed
+from phyllary.plans.core_queries import known_names
+from phyllary.session import durable, table
 
 PLACE_FIELDS = {"country": "country", "state_province": "state_province", "institution_code": "institution_code"}
 
@@ -43,6 +46,24 @@ def p4_bundles(spark: SparkSession, d: str) -> DataFrame:
     return choose_survivors(_grouped(spark, d, *columns), ["holder", "number"], bundles, "trust_rank", "accessed_at", "seq", [("locality", "region")])
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling in recorded_by and identified_by, with how often it occurs."""
+    records = table(spark, d, "specimen_records")
+    known = durable(known_names(spark, d))
+    split = split_packed(records.select("recorded_by"), "recorded_by", "name", known, single=True).select(F.col("item_text").alias("name"))
+    determiners = records.select(F.trim("identified_by").alias("name")).where("name <> ''")
+    return split.unionByName(determiners).groupBy("name").agg(F.count("*").alias("n"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return variant_pairs(link_names(durable(_names(spark, d))))
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling with the one that stands for it."""
+    return link_names(durable(_names(spark, d)))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "specimen_records").select("seq", *PLACE_FIELDS)
     mapped = map_to_list(records, PLACE_FIELDS, table(spark, d, "canonical_entries"), "country")
@@ -56,5 +77,5 @@ def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return mapped.where("map_status in ('none', 'ambiguous')").groupBy("field_name", "field_text", "map_status").agg(F.count("*").alias("n"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_bundles": p4_bundles, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
+QUERIES = {"p6_found": p6_found, "p6_clusters": p6_clusters, "p4_found": p4_found, "p4_bundles": p4_bundles, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
 SQL: dict[str, str] = {}
