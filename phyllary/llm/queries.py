@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phyllary.llm.canonical import map_to_list
+from phyllary.llm.mixing import mix_report, mix_sources
 from phyllary.llm.name_variants import link_names, variant_pairs
+from phyllary.llm.packing import pack_items, packing_report
+from phyllary.llm.sentences import split_sentences
 from phyllary.llm.survivors import Bundle, catalogue_key, choose_survivors, names_place, usable_latitude
+from phyllary.llm.tokens import token_count
 from phyllary.operators.packed import split_packed
 from phyllary.plans.core_queries import known_names
 from phyllary.session import durable, table
@@ -77,5 +81,32 @@ def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return mapped.where("map_status in ('none', 'ambiguous')").groupBy("field_name", "field_text", "map_status").agg(F.count("*").alias("n"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_clusters": p6_clusters, "p4_found": p4_found, "p4_bundles": p4_bundles, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their size in tokens; each text is encoded once."""
+    return durable(table(spark, d, "documents").select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, or piece of a text larger than the capacity, in its container, for each run."""
+    return pack_items(_sized(spark, d), "doc_id", "n_tokens", table(spark, d, "pack_capacities"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing_report(p8_containers(spark, d), table(spark, d, "pack_capacities"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mixture in which every source has its share."""
+    return mix_sources(_sized(spark, d), "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mix_report(durable(p9_mixture(spark, d)), table(spark, d, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_sentences(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p6_found": p6_found, "p6_clusters": p6_clusters, "p4_found": p4_found, "p4_bundles": p4_bundles, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found}
 SQL: dict[str, str] = {}
