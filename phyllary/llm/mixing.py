@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from phyllary.session import durable
 
-#: Blocks in the schedule at most: a block is this part of the mixture, or the largest item if that is more. Bounds driver and broadcast.
+#: Blocks in the schedule at most: a block is this part of the mixture. Bounds what the driver makes and what is broadcast.
 SLOTS = 32_768
 #: Parts that each source is cut into, by hash, to sum its sizes without any task holding a source.
 PARTS = 1024
@@ -61,7 +61,7 @@ def mix_sources(items: DataFrame, key: str, source: str, size: str, targets: Dat
     rows = rows.withColumn("__hash", F.xxhash64("__key", "__size", F.lit(9))).withColumn("__part", F.pmod("__hash", F.lit(parts)).cast("int"))
     rows = durable(rows)
     # at most parts rows for each listed source
-    sums = rows.groupBy("__source", "__part").agg(F.sum("__size").alias("s"), F.max("__size").alias("m"))
+    sums = rows.groupBy("__source", "__part").agg(F.sum("__size").alias("s"))
     got = sums.collect()
     held: dict[str, int] = {}
     for r in got:
@@ -74,7 +74,7 @@ def mix_sources(items: DataFrame, key: str, source: str, size: str, targets: Dat
     most = min(held[s] * live[s][1] / share[s] for s in live)
     whole = int(most if total is None else total)
     quota = {s: min(share[s] * whole, float(held[s] * live[s][1])) for s in live}
-    unit = max(-(-whole // slots), 1, max(r["m"] for r in got))
+    unit = max(-(-whole // slots), 1)
     # where each part begins in its source's pass
     begins, at = [], {}
     for r in sorted(got, key=lambda r: (r["__source"], r["__part"])):
