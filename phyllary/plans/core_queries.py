@@ -69,3 +69,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_status_counts": p2_status_counts, "p3_found": p3_found, "p5_found": p5_found}
+
+
+def _degrees(c: str) -> str:
+    return f"(case when regexp_full_match(trim({c}), '[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?') then try_cast(trim({c}) as double) end)"
+
+
+SQL = {
+    "p3_found": f"""with r as (select seq, {_degrees("decimal_latitude")} as a, {_degrees("decimal_longitude")} as o from specimen_records),
+c as (select cand_seq, {_degrees("candidate_latitude")} as b, {_degrees("candidate_longitude")} as p from coordinate_candidates),
+x as (select *, pow(sin(radians(b - a) / 2), 2) + cos(radians(a)) * cos(radians(b)) * pow(sin(radians(p - o) / 2), 2) as h from r join c on abs(a - b) < 0.0046
+ where a between -90 and 90 and o between -180 and 180 and not (a = 0 and o = 0) and b between -90 and 90 and p between -180 and 180 and not (b = 0 and p = 0))
+select seq, cand_seq from x where 2 * 6371008.8 * atan2(sqrt(h), sqrt(greatest(1 - h, 0))) <= 500"""
+}
