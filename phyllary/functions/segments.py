@@ -18,8 +18,8 @@ BODY_WORDS = frozenset(
 ADDRESS_STARTS = ("https://", "http://", "ftp://", "urn:", "doi:", "ark:", "www.", "lsid:", "hdl:")
 
 _AND = "|".join(re.escape(w) for w in AND_WORDS)
-_NAME_MARKS = re.compile(rf"(?P<hard>\s*[;|\n\t\r]+\s*|\s+[/+]\s+)|(?P<soft>\s*,\s*|\s+(?:{_AND})(?=\s))", re.I)
-_AND_AL = re.compile(rf"[\s,;|]*(?:(?:\b(?:et|and|und|y)|&)\s+(?:al(?:ii|ia)?\b\.?|others\b|collaborators\b))", re.I)
+_NAME_MARKS = re.compile(rf"(?P<hard>\s{{0,32}}[;|\n\t\r]+\s*|\s{{1,32}}[/+]\s+)|(?P<soft>\s{{0,32}},\s*|\s{{1,32}}(?:{_AND})(?=\s))", re.I)
+_AND_AL = re.compile(rf"[\s,;|]{{0,32}}(?:(?:\b(?:et|and|und|y)|&)\s+(?:al(?:ii|ia)?\b\.?|others\b|collaborators\b))", re.I)
 _QUOTED = re.compile(r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)+)'(?=\s*(?:[,;|\]]|$))|«([^»]*)»|“([^”]*)”")
 _INITIALS = re.compile(r"^(?:[^\W\d_]{1,2}\.[\s-]*)+$|^[^\W\d_]$")
 _GIVEN = re.compile(r"^(?:[^\W\d_]+\.?)(?:[\s-]+(?:[^\W\d_]{1,2}\.[\s-]*)+)?$|^(?:[^\W\d_]{1,2}\.[\s-]*)+$")

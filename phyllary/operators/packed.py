@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phyllary.functions.segments import AND_WORDS, automaton, split_values
 
@@ -70,7 +71,7 @@ def _split_by_batches(rows: DataFrame, known: DataFrame, kind: str) -> DataFrame
     tried = rows.select("__id", F.explode(F.array_distinct(F.flatten(F.transform(hard, runs)))).alias("value"))
     hits = tried.join(known, "value").groupBy("__id").agg(F.collect_list("value").alias("__known"))
     both = rows.join(hits, "__id", "left")
-    schema = both.drop("__known").schema.add("__items", "array<string>")
+    schema = both.drop("__known").schema.add("__items", T.ArrayType(T.StringType()))
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

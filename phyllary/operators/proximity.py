@@ -55,7 +55,8 @@ def _cells(pivots: np.ndarray, radius: float, every: bool):
 def pairs_within(
     left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_place: tuple[str, str], right_place: tuple[str, str], radius_m: float, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Every pair (left_id, right_id) of rows whose places are at most radius_m apart by great circle; the ids are long integers.
+    """Every pair (left_id, right_id) of rows whose places are at most radius_m apart by great circle; the ids are long integers. Ids of
+    one name get _left and _right behind it.
 
     Places are columns (latitude, longitude), numbers or text; rows whose place is null, no number, out of range or 0, 0 have no pairs.
     Repeated rows give a pair each, also at one place. Other columns are not carried. Empty sides give an empty result. Crowded cells
@@ -66,7 +67,8 @@ def pairs_within(
         at = df.select(F.col(key).cast("long").alias("__id"), degrees(F.col(lat)).alias("__lat"), degrees(F.col(lon)).alias("__lon"))
         sides.append(at.where(usable_place(F.col("__lat"), F.col("__lon")) & F.col("__id").isNotNull()))
     spark = left.sparkSession
-    schema = f"`{left_id}` long, `{right_id}` long"
+    left_out, right_out = (left_id, right_id) if left_id != right_id else (f"{left_id}_left", f"{right_id}_right")
+    schema = f"`{left_out}` long, `{right_out}` long"
     chosen = _pivots(sides[0], pivots)
     if not len(chosen):
         return spark.createDataFrame([], schema)
@@ -98,7 +100,7 @@ def pairs_within(
                 if len(q) and len(p):
                     qid, pid = q["__id"].values, p["__id"].values
                     for i, j in local_pairs(q["__lat"].values, q["__lon"].values, p["__lat"].values, p["__lon"].values, radius_m):
-                        yield pd.DataFrame({left_id: qid[i], right_id: pid[j]})
+                        yield pd.DataFrame({left_out: qid[i], right_out: pid[j]})
 
         for batch in batches:
             keys = batch[["__cell", "i", "j"]].values

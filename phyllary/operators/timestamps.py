@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phyllary.functions.dates import EPOCH, read_date, zone_intervals
+from phyllary.functions.vectorised import vectorised
 
 #: Years with intervals of their own; local times outside them take the nearest of these years.
 FIRST_YEAR, LAST_YEAR = 1900, 2100
 
 
-@F.pandas_udf("struct<normal:string,local_s:long,zone:string>")
+@vectorised("struct<normal:string,local_s:long,zone:string>")
 def _readings(text: pd.Series, order: pd.Series) -> pd.DataFrame:
     memo: dict = {}
     rows = []
@@ -74,7 +75,7 @@ def normalise_times(df: DataFrame, text: str, order: str | None = None, zone: st
     (those are replaced). An empty df gives an empty result.
     """
     spark = df.sparkSession
-    named = df.select(F.regexp_extract(F.col(text), r"([A-Z][A-Za-z_]+/[A-Za-z_/+-]+)", 1).alias("z")).where("z <> ''").distinct()
+    named = df.select(F.regexp_extract(F.col(text), r"(?<![A-Za-z_])([A-Z][A-Za-z_]++/[A-Za-z_/+-]++)", 1).alias("z")).where("z <> ''").distinct()
     if zone:
         named = named.union(df.select(F.col(zone)).where(F.col(zone).isNotNull()).distinct()).distinct()
     known = spark.createDataFrame([(z,) for z in sorted(available_timezones())], "z string")

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phyllary.functions.quantities import SAME, read_altitude
+from phyllary.functions.vectorised import vectorised
 
 
-@F.pandas_udf("struct<low:long,high:long,only:boolean,residual:double>")
+@vectorised("struct<low:long,high:long,only:boolean,residual:double>")
 def _altitudes(text: pd.Series, unit: pd.Series) -> pd.DataFrame:
     memo: dict = {}
     rows = []
