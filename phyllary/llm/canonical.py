@@ -48,7 +48,7 @@ def fold(text: str) -> str:
 
 def _long(folded: str, text: str) -> str:
     """The folded text with words written out that stand with a dot in the text."""
-    short = {fold(w) for w in re.findall(r"([^\W\d_]+)\.", text)}
+    short = {fold(w) for w in re.findall(r"(?<![^\W\d_])([^\W\d_]+)\.", text)}
     return " ".join(SHORT_WORDS.get(w, w) if w in short else w for w in folded.split())
 
 

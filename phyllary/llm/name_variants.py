@@ -9,16 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phyllary.functions.vectorised import vectorised
 from phyllary.llm.names import ALIKE, BAND_ROWS, RECALL, TARGET, bands_for, formal, name_similarity, one_edit, parse_name
 from phyllary.session import broadcast_if_small, durable
 
 
-@F.pandas_udf("struct<kind:string,main:string,others:array<string>,form:string,first:string>")
+@vectorised("struct<kind:string,main:string,others:array<string>,form:string,first:string>")
 def _parsed(names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_name(n) for n in names], columns=["kind", "main", "others", "form", "first"])
 
 
-@F.pandas_udf("array<string>")
+@vectorised("array<string>")
 def _keys(kind: pd.Series, others: pd.Series) -> pd.Series:
     """What must agree beside the main part: the initial of the given name, formal or as written, or of a body's words."""
     out = []
@@ -48,12 +49,12 @@ def _bands(n: int, rows: int):
     return F.pandas_udf(bands, "array<long>")
 
 
-@F.pandas_udf("double")
+@vectorised("double")
 def _similar(kind: pd.Series, ma: pd.Series, oa: pd.Series, mb: pd.Series, ob: pd.Series) -> pd.Series:
     return pd.Series([name_similarity(k, a, list(x), b, list(y)) for k, a, x, b, y in zip(kind, ma, oa, mb, ob, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("boolean")
+@vectorised("boolean")
 def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([min(len(x), len(y)) >= 4 and one_edit(x, y) for x, y in zip(a, b, strict=True)], dtype="boolean")
 

@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items in one block; blocks are cut by hash, so that no task's work grows with the data.
-BLOCK_ITEMS = 2048
+#: Items in one block at least, windows that it is to fill, and items at most; blocks are cut by hash, so that no task's work grows
+#: with the data.
+BLOCK_ITEMS, BLOCK_WINDOWS, MOST_ITEMS = 2048, 64, 65_536
 
 
 def difference(sizes: Sequence[int], k: int) -> list[list[int]]:
@@ -82,8 +83,8 @@ def pack_items(items: DataFrame, key: str, size: str, runs: DataFrame, block_ite
 
     items: key and size (in tokens); sizes null, zero or negative hold nothing and are left out. runs: run_name, capacity_tokens
     (a handful of rows). An item larger than the capacity is cut into pieces of the capacity; whole pieces fill a container each, the
-    rest is packed like an item. No other item is cut. Containers are filled within blocks of about block_items items, chosen by
-    hash: a block wastes at most the room of its last window beside what differencing leaves. Ties and repeated rows are fine: each
+    rest is packed like an item. No other item is cut. Containers are filled within blocks, chosen by hash, of block_items items or
+    as many as fill BLOCK_WINDOWS windows: a block wastes at most the room of one window beside what differencing leaves. Ties and repeated rows are fine: each
     row is an item. Empty items or runs give an empty result.
     """
     spark = items.sparkSession
@@ -93,39 +94,47 @@ def pack_items(items: DataFrame, key: str, size: str, runs: DataFrame, block_ite
     if not plan:
         return spark.createDataFrame([], schema)
     sized = items.select(F.col(key).alias("__key"), F.col(size).cast("long").alias("__size")).where("__size > 0")
-    # one pass over the counted sizes tells how many blocks there are
-    n = max(1, -(-sized.count() // block_items))
-    blocks = sized.withColumn("__block", F.pmod(F.xxhash64("__key", "__size", F.lit(8)), F.lit(n)).cast("int"))
+    count, total = sized.agg(F.count("*"), F.sum("__size")).first()
+    if not count:
+        return spark.createDataFrame([], schema)
+    # small items need larger blocks to fill as many windows
+    per = [max(block_items, min(MOST_ITEMS, -(-BLOCK_WINDOWS * capacity * count // total))) for _, capacity in plan]
+    blocks_of = [max(1, -(-count // n)) for n in per]
+    own = F.get(F.array(*[F.lit(n) for n in blocks_of]), F.col("__run"))
+    spread = sized.withColumn("__run", F.explode(F.array(*[F.lit(i) for i in range(len(plan))])))
+    blocks = spread.withColumn("__block", F.pmod(F.xxhash64("__key", "__size", F.lit(8)), own).cast("int"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    ordered = blocks.repartition(min(n, 16 * tasks), "__block").sortWithinPartitions("__block", "__key", "__size")
-
-    def block(b: int, keys: np.ndarray, sizes: np.ndarray) -> Iterator[pd.DataFrame]:
-        for run, capacity in plan:
-            whole = sizes // capacity * (sizes > capacity)
-            rest = sizes - whole * capacity
-            rows: list = []
-            for i in np.nonzero(whole)[0]:
-                rows += [(f"{b}-{i}-{p}", keys[i], p, p * capacity, capacity) for p in range(int(whole[i]))]
-            at = np.nonzero(rest)[0]
-            for i, w in zip(at, pack(rest[at].tolist(), capacity), strict=True):
-                rows.append((f"{b}-w{w}", keys[i], int(whole[i]), int(whole[i]) * capacity, int(rest[i])))
-            out = pd.DataFrame(rows, columns=["container", key, "piece", "piece_start", "piece_size"])
-            out.insert(0, "run_name", run)
-            yield out
+    ordered = blocks.repartition(min(sum(blocks_of), 16 * tasks), "__run", "__block").sortWithinPartitions("__run", "__block", "__key", "__size")
+
+    def block(r: int, b: int, keys: np.ndarray, sizes: np.ndarray) -> Iterator[pd.DataFrame]:
+        run, capacity = plan[r]
+        whole = sizes // capacity * (sizes > capacity)
+        rest = sizes - whole * capacity
+        rows: list = []
+        for i in np.nonzero(whole)[0]:
+            rows += [(f"{b}-{i}-{p}", keys[i], p, p * capacity, capacity) for p in range(int(whole[i]))]
+        at = np.nonzero(rest)[0]
+        for i, w in zip(at, pack(rest[at].tolist(), capacity), strict=True):
+            rows.append((f"{b}-w{w}", keys[i], int(whole[i]), int(whole[i]) * capacity, int(rest[i])))
+        out = pd.DataFrame(rows, columns=["container", key, "piece", "piece_start", "piece_size"])
+        out.insert(0, "run_name", run)
+        yield out
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, now = [], None
+
+        def flush() -> Iterator[pd.DataFrame]:
+            if held:
+                one = pd.concat(held)
+                yield from block(*now, one["__key"].values, one["__size"].values)
+
         for batch in batches:
-            for b, part in batch.groupby("__block", sort=False):
-                if b != now and held:
-                    one = pd.concat(held)
-                    yield from block(now, one["__key"].values, one["__size"].values)
-                    held = []
-                now = b
+            for at, part in batch.groupby(["__run", "__block"], sort=False):
+                if at != now:
+                    yield from flush()
+                    held, now = [], at
                 held.append(part)
-        if held:
-            one = pd.concat(held)
-            yield from block(now, one["__key"].values, one["__size"].values)
+        yield from flush()
 
     return ordered.mapInPandas(fill, schema)
 

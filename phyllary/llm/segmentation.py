@@ -31,7 +31,7 @@ TERMINATORS = "!?.…‼⁇⁈⁉。！？｡．।॥۔؟።፧፨"
 _CJK = r"\p{Han}\p{Hiragana}\p{Katakana}ー々〆〇"
 #: Terminators with what closes behind them; a closing guillemet may stand after a blank, as in French.
 CANDIDATE = regex.compile(
-    rf"(?P<t>[{regex.escape(TERMINATORS)}]+)(?P<c>(?:[\"”’'»)\]}}」』）】》〉]|\s{1,4}»)*)|(?P<semi>[;;])(?=\s+[\p{{Lu}}«“\"(]|\s*$)|(?P<thai>(?<=[\p{{Thai}}])[  ]+(?=\p{{Thai}}))", regex.M
+    rf"(?P<t>[{regex.escape(TERMINATORS)}]+)(?P<c>(?:[\"”’'»)\]}}」』）】》〉]|\s{{1,4}}»)*)|(?P<semi>[;;])(?=\s+[\p{{Lu}}«“\"(]|\s*$)|(?P<thai>(?<=[\p{{Thai}}])[  ]+(?=\p{{Thai}}))", regex.M
 )
 PARAGRAPH = regex.compile(r"(?:\r\n?|\n| )[^\S\r\n]*(?:(?:\r\n?|\n| )[^\S\r\n]*)+| |\f")
 
@@ -142,6 +142,8 @@ CASCADE = {
 }
 #: Characters before and after a position that rules may look at, beside the sentence's own start.
 BEFORE, AFTER = 160, 80
+#: Characters within which an open bracket must close to hold a sentence together.
+BRACKET = 400
 
 
 def _decide(text: str, start: int, at: int, end: int) -> bool:
@@ -159,15 +161,27 @@ def _decide(text: str, start: int, at: int, end: int) -> bool:
     return False
 
 
-def _open_bracket(text: str, start: int, at: int) -> bool:
-    """Whether a round bracket that does not open the sentence is still open at the position."""
-    depth = 0
-    for i in range(start, at):
-        if text[i] in "(（":
-            depth += 1
-        elif text[i] in ")）" and depth:
-            depth -= 1
-    return depth > 0 and text[start] not in "(（"
+class _Brackets:
+    """Whether a round bracket that does not open the sentence is open at a position and closed soon after it; asked in order."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.start, self.at, self.depth, self.close = text, -1, 0, 0, -1
+
+    def open(self, start: int, at: int, end: int) -> bool:
+        if start != self.start:
+            self.start, self.at, self.depth = start, start, 0
+        for i in range(self.at, at):
+            if self.text[i] in "(（":
+                self.depth += 1
+            elif self.text[i] in ")）" and self.depth:
+                self.depth -= 1
+        self.at = max(self.at, at)
+        if not self.depth or self.text[start] in "(（":
+            return False
+        if self.close < at:
+            found = [k for k in (self.text.find(c, at, min(end, at + BRACKET)) for c in ")）") if k >= 0]
+            self.close = min(found, default=-1)
+        return self.close >= at
 
 
 def _paragraphs(text: str) -> list[tuple[int, int]]:
@@ -192,6 +206,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     if not text:
         return []
     out: list[tuple[int, int]] = []
+    brackets = _Brackets(text)
     for p, q in _paragraphs(text):
         p, q = _strip(text, p, q)
         start = p
@@ -217,7 +232,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
                     continue
             elif not _decide(text, start, at, q):
                 continue
-            if m["thai"] is None and _open_bracket(text, start, at):
+            if m["thai"] is None and brackets.open(start, at, q):
                 continue
             a, b = _strip(text, start, at)
             if a < b:
