@@ -28,7 +28,7 @@ from phyllary.operators.gazetteer import match_places, read_places
 from phyllary.operators.labels import parsed_coordinates
 from phyllary.operators.proximity import pairs_within
 from phyllary.schema import as_records
-from phyllary.session import table
+from phyllary.session import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -101,7 +101,7 @@ def normal_coordinates(spark, d):
 from (select l_orderkey, l_linenumber, l_orderkey % 90 as d, l_partkey % 60 as m, l_suppkey % 60 as s, l_partkey % 180 as e, l_orderkey % 60 as n, l_linenumber as t from lineitem)""")
 def dms_extract(spark, d):
     """Degrees, minutes and seconds written into a text and read from it."""
-    l = table(spark, d, "lineitem")
+    l = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     written = F.format_string("Alt. 300 m; N %d° %d′ %d″ E %d° %d′ %d″", F.col("l_orderkey") % 90, F.col("l_partkey") % 60, F.col("l_suppkey") % 60, F.col("l_partkey") % 180, F.col("l_orderkey") % 60, F.col("l_linenumber"))
     found = l.select("l_orderkey", "l_linenumber", F.explode(parsed_coordinates(written)).alias("c"))
     return found.select("l_orderkey", "l_linenumber", F.round("c.latitude", 9).alias("latitude"), F.round("c.longitude", 9).alias("longitude"))

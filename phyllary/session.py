@@ -46,3 +46,10 @@ def durable(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if the side has at most that many rows (counted up to the bound only), else the side as it is, to be shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for work that is bound by Python: dealt out anew only where it has fewer partitions than there are cores,
+    which is where it is small; larger inputs keep the partitions of their files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
