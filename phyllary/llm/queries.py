@@ -14,7 +14,7 @@ from phyllary.llm.survivors import Bundle, catalogue_key, choose_survivors, name
 from phyllary.llm.tokens import token_count
 from phyllary.operators.packed import split_packed
 from phyllary.plans.core_queries import known_names
-from phyllary.session import durable, table
+from phyllary.session import durable, spread, table
 
 PLACE_FIELDS = {"country": "country", "state_province": "state_province", "institution_code": "institution_code"}
 
@@ -83,7 +83,7 @@ def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     """Documents with their size in tokens; each text is encoded once."""
-    return durable(table(spark, d, "documents").select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")))
+    return durable(spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +105,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return split_sentences(table(spark, d, "documents"), "doc_id", "text")
+    return split_sentences(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 QUERIES = {"p6_found": p6_found, "p6_clusters": p6_clusters, "p4_found": p4_found, "p4_bundles": p4_bundles, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found}
