@@ -12,36 +12,58 @@ from pyspark.sql import functions as F
 
 #: Items in one block at least, windows that it is to fill, and items at most; blocks are cut by hash, so that no task's work grows
 #: with the data.
-BLOCK_ITEMS, BLOCK_WINDOWS, MOST_ITEMS = 2048, 64, 65_536
+BLOCK_ITEMS, BLOCK_WINDOWS, MOST_ITEMS = 4096, 64, 65_536
 
 
-def difference(sizes: Sequence[int], k: int) -> list[list[int]]:
-    """The items (their places) parted into k windows of nearly equal sums by multiway differencing.
+def windows_by_differencing(sizes: np.ndarray, k: int) -> np.ndarray:
+    """The window, from 0 to k - 1, of each item: nearly equal sums by multiway differencing.
 
     Every item starts as a partition with one filled window. The two partitions with the largest spread are merged, the fullest window
-    of one with the emptiest of the other, until one is left.
+    of one with the emptiest of the other, until one is left. A partition is kept as its filled windows, fullest first: sums, and
+    nodes that stand for what a window holds. Which node was made of which two is written down, and read backwards at the end.
     """
-    heap: list = []
-    for i, s in enumerate(sizes):
-        # only filled windows are kept: (sum, items), fullest first; the others are empty
-        heap.append((-int(s), i, [(int(s), [i])]))
-    heapq.heapify(heap)
-    n = len(heap)
+    n = len(sizes)
+    if not n:
+        return np.empty(0, np.int64)
+    at = np.argsort(-sizes, kind="stable")
+    heap: list = [(-int(sizes[i]), int(i), sizes[i : i + 1], np.array([i])) for i in at]
+    made: list[tuple[int, np.ndarray, np.ndarray]] = []
+    nodes = turn = n
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
-        if len(a) + len(b) <= k:
-            merged = a + b
+        _, _, sa, na = heapq.heappop(heap)
+        _, _, sb, nb = heapq.heappop(heap)
+        if len(sa) + len(sb) <= k:
+            sums, ids = np.concatenate([sa, sb]), np.concatenate([na, nb])
         else:
-            # opposing imbalances: a in falling, b in rising order, each with its empty windows
-            pa, pb = a + [(0, [])] * (k - len(a)), [(0, [])] * (k - len(b)) + b[::-1]
-            merged = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(pa, pb, strict=True)]
-        merged.sort(key=lambda w: -w[0])
-        low = merged[-1][0] if len(merged) == k else 0
-        heapq.heappush(heap, (-(merged[0][0] - low), n, merged))
-        n += 1
-    out = [w[1] for w in heap[0][2]] if heap else []
-    return out + [[] for _ in range(k - len(out))]
+            # opposing imbalances: the last windows of one get the first of the other, so that both ends meet at k windows
+            both = len(sa) + len(sb) - k
+            left, right = na[len(na) - both :], nb[len(nb) - both :][::-1]
+            new = np.arange(nodes, nodes + both)
+            made.append((nodes, left, right))
+            nodes += both
+            sums = np.concatenate([sa[: len(sa) - both], sa[len(sa) - both :] + sb[len(sb) - both :][::-1], sb[: len(sb) - both]])
+            ids = np.concatenate([na[: len(na) - both], new, nb[: len(nb) - both]])
+        order = np.argsort(-sums, kind="stable")
+        sums, ids = sums[order], ids[order]
+        low = int(sums[-1]) if len(sums) == k else 0
+        heapq.heappush(heap, (low - int(sums[0]), turn, sums, ids))
+        turn += 1
+    window = np.empty(nodes, np.int64)
+    ids = heap[0][3]
+    window[ids] = np.arange(len(ids))
+    for base, left, right in reversed(made):
+        own = window[base : base + len(left)]
+        window[left] = own
+        window[right] = own
+    return window[:n]
+
+
+def difference(sizes: Sequence[int], k: int) -> list[list[int]]:
+    """The items (their places) of each of the k windows."""
+    out: list[list[int]] = [[] for _ in range(k)]
+    for i, w in enumerate(windows_by_differencing(np.asarray(sizes, np.int64), k).tolist()):
+        out[w].append(i)
+    return out
 
 
 def pack(sizes: Sequence[int], capacity: int) -> list[int]:
@@ -50,15 +72,15 @@ def pack(sizes: Sequence[int], capacity: int) -> list[int]:
     The window count starts at the least possible and rises as long as a window is too full; the rise follows the overflow, then the
     counts between the last failure and the first success are tried by halving.
     """
-    total = int(sum(sizes))
-    if not len(sizes):
+    held = np.asarray(sizes, np.int64)
+    if not len(held):
         return []
 
-    def attempt(k: int) -> tuple[list[list[int]], int]:
-        windows = difference(sizes, k)
-        return windows, sum(max(0, sum(sizes[i] for i in w) - capacity) for w in windows)
+    def attempt(k: int) -> tuple[np.ndarray, int]:
+        windows = windows_by_differencing(held, k)
+        return windows, int(np.maximum(np.bincount(windows, weights=held, minlength=k).astype(np.int64) - capacity, 0).sum())
 
-    k = max(1, -(-total // capacity))
+    k = max(1, -(-int(held.sum()) // capacity))
     failed, (windows, over) = k - 1, attempt(k)
     while over:
         failed = k
@@ -71,11 +93,7 @@ def pack(sizes: Sequence[int], capacity: int) -> list[int]:
             failed = mid
         else:
             k, windows = mid, tried
-    out = [0] * len(sizes)
-    for w, items in enumerate(windows):
-        for i in items:
-            out[i] = w
-    return out
+    return windows.tolist()
 
 
 def pack_items(items: DataFrame, key: str, size: str, runs: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
