@@ -42,12 +42,16 @@ class Rule:
 
     name: str
     breaks: bool
-    before: regex.Pattern
-    after: regex.Pattern
+    before: regex.Pattern | None
+    after: regex.Pattern | None
+
+    def fits(self, before: str, after: str) -> bool:
+        return (self.after is None or self.after.match(after) is not None) and (self.before is None or self.before.search(before) is not None)
 
 
 def _rule(name: str, breaks: bool, before: str = "", after: str = "") -> Rule:
-    return Rule(name, breaks, regex.compile(rf"(?:{before})$"), regex.compile(after))
+    # what stands before is matched from the position backwards
+    return Rule(name, breaks, regex.compile(rf"(?:{before})$", regex.REVERSE) if before else None, regex.compile(after) if after else None)
 
 
 def _words(text: str) -> str:
@@ -130,7 +134,7 @@ OTHERS = [
 DEFAULT = [_rule("anything follows", True, "", r"\s"), _rule("nothing decides", False)]
 
 _KIND = regex.compile(rf"(?P<cjk>[{_CJK}。！？｡．」』])|(?P<cyr>\p{{Cyrillic}})|(?P<el>\p{{Greek}})|(?P<thai>\p{{Thai}})|(?P<lat>\p{{Latin}})|(?P<oth>[\p{{Arabic}}\p{{Devanagari}}\p{{Ethiopic}}\p{{Hangul}}\p{{Bengali}}\p{{Hebrew}}\p{{Armenian}}\p{{Georgian}}])")
-_LAST_LETTER = regex.compile(_KIND.pattern, regex.R if hasattr(regex, "R") else regex.REVERSE)
+_LAST_LETTER = regex.compile(_KIND.pattern, regex.REVERSE)
 #: The tables asked for each script of the letter before the position, in order.
 CASCADE = {
     "cjk": [*COMMON[1:4], *CJK, *COMMON[4:], *DEFAULT],
@@ -146,8 +150,31 @@ BEFORE, AFTER = 160, 80
 BRACKET = 400
 
 
+#: Words that some rule speaks of; a plain end has none of them.
+SPECIAL = frozenset(w for words in (*NEVER_LAST.values(), MAY_LAST, "ch th ph yu zh sh kh ts chr wm geo jos joh alex aug ferd gust herm abb taf art fasz tab núm pág págs usw περ χιλ μμ") for w in words.split())
+_PLAIN_END = regex.compile(r"[\s(«“„‘'\"]([^\W\d_]{3,})\.$", regex.REVERSE)
+_CAPITAL = regex.compile(r"\s+\p{Lu}")
+
+
+def _at_once(text: str, start: int, at: int, low: int) -> bool | None:
+    """The verdict of the tables where it is plain from a few characters: a point inside a number, a common word's point or a strong
+    mark before a blank and a capital. None where the tables must be asked; they would give the same."""
+    last, before = text[at - 1], text[at - 2 : at - 1]
+    if last == "." and before.isdigit() and text[at : at + 1].isdigit():
+        return False
+    if last in ".!?" and _CAPITAL.match(text, at):
+        if last != ".":
+            return True if before.isalpha() and _KIND.match(before) and _KIND.match(before).lastgroup in ("lat", "cyr", "el") else None
+        m = _PLAIN_END.search(text, low, at)
+        if m and m.start(1) > start and m[1].lower() not in SPECIAL and _KIND.match(m[1]).lastgroup in ("lat", "cyr", "el"):
+            return True
+    return None
+
+
 def _decide(text: str, start: int, at: int, end: int) -> bool:
     """Whether a sentence ends at the position, for a sentence that began at start in a paragraph that ends at end."""
+    if (verdict := _at_once(text, start, at, max(start, at - 40))) is not None:
+        return verdict
     low = max(start, at - BEFORE)
     before, after = text[low:at], text[at : min(end, at + AFTER)]
     found = _LAST_LETTER.search(before)
@@ -156,7 +183,7 @@ def _decide(text: str, start: int, at: int, end: int) -> bool:
     if kind == "lat" and (n := _KIND.search(after)) and n.lastgroup == "cjk":
         kind = "cjk"
     for rule in CASCADE[kind]:
-        if rule.after.match(after) and (rule.before.pattern == "(?:)$" or rule.before.search(before)):
+        if rule.fits(before, after):
             return rule.breaks
     return False
 
@@ -222,7 +249,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             if m["thai"] is not None:
                 at = m.start()
                 low, high = text[max(start, at - 12) : at], text[m.end() : m.end() + 4]
-                if any(r.after.match(high) and (r.before.pattern == "(?:)$" or r.before.search(low)) for r in THAI):
+                if any(r.fits(low, high) for r in THAI):
                     continue
             elif m["semi"] is not None:
                 # the question mark of Greek
