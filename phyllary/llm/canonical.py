@@ -186,8 +186,10 @@ class Reference:
         for t in variants:
             if not found:
                 found = dict.fromkeys(trie.exact(t), 0)
-        if not found and text.rstrip().endswith(".") and len(variants[0]) >= 4 and " " not in variants[0] if variants else False:
-            found = dict.fromkeys(trie.begins(variants[0]), 0)
+        if not found and variants and len(variants[0]) >= 4 and text.rstrip().endswith("."):
+            # cut short with a dot: the beginning of one entry only
+            begun = trie.begins(variants[0])
+            found = dict.fromkeys(begun, 0) if len(begun) == 1 else {}
         if not found:
             for t in variants:
                 for entry, d in trie.near(t, allowed(len(t))).items():

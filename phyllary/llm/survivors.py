@@ -135,9 +135,7 @@ def choose_survivors(
     if len({y for _, y in deps}) < len(deps):
         raise ValueError("a bundle may be determined by one other only")
     g = list(group)
-    rows = df.where(F.coalesce(*[F.col(c).isNull() for c in g[:1]]) == F.lit(False))
-    for c in g[1:]:
-        rows = rows.where(F.col(c).isNotNull())
+    rows = df.dropna(subset=g)
     filled = [sum((F.when(F.length(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) > 0, 1).otherwise(0) for c in b.columns), F.lit(0)) for b in bundles]
     tr = F.coalesce(F.col(trust).cast("long"), F.lit(999_999))
     orders = [F.when(b.usable, F.struct((n.cast("long") * 1_000_000 - tr).alias("gain"), F.coalesce(F.col(recent).cast("string"), F.lit("")).alias("recent"), (-F.col(key)).alias("k"))) for b, n in zip(bundles, filled, strict=True)]
