@@ -16,7 +16,9 @@ TYPE_NAMES = ["isolectotype", "isoneotype", "isoholotype", "lectotype", "holotyp
 COUNTRY_ONLY = ["china", "japan", "taiwan", "chinese taipei", "philippines", "nepal", "india", "vietnam", "thailand", "malaysia", "indonesia"]
 #: Words of a locality that narrow it down (fixed values).
 DETAIL_WORDS = ["mt.", "mount", "mountain", "river", "stream", "valley", "trail", "village", "mura", "gun", "county", "forest", "road", "km"]
-#: Query parameters whose values are secrets.
+#: Why a locality is too broad (fixed values).
+NO_LOCALITY, ONLY_REGION, TOO_BROAD, ONLY_ADMIN = "No locality text is available.", "Only country/state-level locality is available.", "Locality is too broad for georeferencing: ", "Only broad administrative locality is available."
+#: Query parameters whose values are secrets (fixed values).
 SECRET_PARAMETERS = ["api_key", "apikey", "key", "token", "access_token", "password", "client_secret"]
 
 
@@ -144,15 +146,15 @@ def broad_locality(locality: Column, country: Column, state: Column) -> Column:
 
     informative = F.filter(split(loc), lambda w: ~w.isin("pref", "province", "county", "country"))
     admin = F.array_union(split(cou), split(sta))
-    too_broad = F.concat(F.lit("Locality is too broad for georeferencing: "), bare, F.lit("."))
+    too_broad = F.concat(F.lit(TOO_BROAD), bare, F.lit("."))
     broad = loc.contains("prefecture") | loc.contains("province") | loc.contains("pref.")
     detail = reduce(lambda a, b: a | b, [loc.contains(w) for w in DETAIL_WORDS])
     return (
-        F.when((loc == "") & ((cou != "") | (sta != "")), "Only country/state-level locality is available.")
-        .when(loc == "", "No locality text is available.")
+        F.when((loc == "") & ((cou != "") | (sta != "")), ONLY_REGION)
+        .when(loc == "", NO_LOCALITY)
         .when(bare.isin(COUNTRY_ONLY) | (bare == cou) | (bare == sta), too_broad)
         .when((F.size(informative) > 0) & (F.size(admin) > 0) & (F.size(F.array_except(informative, admin)) == 0), too_broad)
-        .when(broad & ~detail & (F.size(informative) <= 2), "Only broad administrative locality is available.")
+        .when(broad & ~detail & (F.size(informative) <= 2), ONLY_ADMIN)
         .otherwise("")
     )
 
