@@ -22,7 +22,7 @@ def union_candidates(*parts: DataFrame) -> DataFrame:
 
 
 def with_rank(candidates: DataFrame, record: str, *order: str, name: str = "candidate_rank") -> DataFrame:
-    return candidates.withColumn(name, F.row_number().over(Window.partitionBy(record).orderBy(*order)))
+    return candidates.withColumn(name, F.row_number().over(Window.partitionBy(record).orderBy(*order)).cast("long"))
 
 
 def score_number() -> Column:
@@ -97,7 +97,7 @@ def anchor_rank(candidates: DataFrame, record: str, order: str, environment_only
     lat, lon = degrees(F.col("candidate_latitude")), degrees(F.col("candidate_longitude"))
     ok = candidates.withColumn("__level", level).where(text("candidate_source").startswith("llm:") & (text("source_urls") != "") & F.col("__level").isNotNull() & lat.between(-90, 90) & lon.between(-180, 180))
     window = Window.partitionBy(record).orderBy(F.desc("__level"), F.desc(score_number()), uncertainty_number(), order)
-    return ok.withColumn("anchor_rank", F.row_number().over(window)).drop("__level")
+    return ok.withColumn("anchor_rank", F.row_number().over(window).cast("long")).drop("__level")
 
 
 def first_without_veto(anchors: DataFrame, record: str, veto: Column) -> DataFrame:

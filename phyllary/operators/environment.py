@@ -244,9 +244,9 @@ def distance_sample(df: DataFrame, group: str, distance: str, tie: str, nearest:
     taken. Adds distance_rank.
     """
     w = Window.partitionBy(group)
-    ranked = df.withColumn("distance_rank", F.row_number().over(w.orderBy(distance, tie))).withColumn("__n", F.count("*").over(w))
+    ranked = df.withColumn("distance_rank", F.row_number().over(w.orderBy(distance, tie)).cast("long")).withColumn("__n", F.count("*").over(w))
     slots = most - nearest
-    at = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.bround(i * (F.col("__n") - nearest - 1) / float(max(1, slots - 1))).cast("int") + nearest + 1)
+    at = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.bround(i * (F.col("__n") - nearest - 1) / float(max(1, slots - 1))).cast("long") + nearest + 1)
     keep = (F.col("__n") <= most) | (F.col("distance_rank") <= nearest) | F.array_contains(at, F.col("distance_rank"))
     return ranked.where(keep).drop("__n")
 

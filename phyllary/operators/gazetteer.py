@@ -92,4 +92,4 @@ def match_places(df: DataFrame, places: DataFrame, haystack: Column, country: Co
     found = F.pandas_udf(match, "array<struct<place_id:long,match_score:double,matched_names:string>>")
     df = df.drop("place_id", "match_score", "match_rank", "matched_names")
     rows = df.select(*df.columns, F.posexplode(found(text(haystack), text(country), text(state))).alias("__i", "__m"))
-    return rows.select(*df.columns, F.col("__m.place_id").alias("place_id"), F.col("__m.match_score").alias("match_score"), (F.col("__i") + 1).alias("match_rank"), F.col("__m.matched_names").alias("matched_names"))
+    return rows.select(*df.columns, F.col("__m.place_id").alias("place_id"), F.col("__m.match_score").alias("match_score"), (F.col("__i") + 1).cast("long").alias("match_rank"), F.col("__m.matched_names").alias("matched_names"))

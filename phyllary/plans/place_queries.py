@@ -107,7 +107,7 @@ def dms_extract(spark, d):
     return found.select("l_orderkey", "l_linenumber", F.round("c.latitude", 9).alias("latitude"), F.round("c.longitude", 9).alias("longitude"))
 
 
-@query(f"""select seq, {_A} as latitude, {_O} as longitude, least({places("decimal_latitude")}, {places("decimal_longitude")}) as places from specimen_records
+@query(f"""select seq, {_A} as latitude, {_O} as longitude, least({places("decimal_latitude")}, {places("decimal_longitude")})::int as places from specimen_records
 where {_A} between -90 and 90 and {_O} between -180 and 180 and not regexp_matches(decimal_latitude || decimal_longitude, '[eE]') and not regexp_matches(trim(decimal_latitude) || trim(decimal_longitude), '(^|[^0-9])\\.|\\.($|[^0-9])')""")
 def decimal_extract(spark, d):
     """Decimal coordinates written into a text and read from it."""

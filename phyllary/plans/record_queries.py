@@ -200,7 +200,7 @@ def source_union_budget(spark, d):
     """Components of a federated source in their order share one budget of records for each name (the feature: a per-query limit)."""
     records = table(spark, d, "specimen_records").select("seq", "query_name", "source")
     ranked = records.join(F.broadcast(table(spark, d, "source_profiles").select("source", "trust_rank")), "source")
-    n = F.row_number().over(Window.partitionBy("query_name").orderBy("trust_rank", "source", "seq"))
+    n = F.row_number().over(Window.partitionBy("query_name").orderBy("trust_rank", "source", "seq")).cast("long")
     return ranked.withColumn("place", n).where("place <= 50").select("seq", "query_name", "source", "place")
 
 
