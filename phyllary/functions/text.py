@@ -107,7 +107,7 @@ def appended_note(existing: Column | str, note: Column | str) -> Column:
 
 def appended_value(existing: Column | str, value: Column | str) -> Column:
     """A list parted by bars with one value more, each value once, in order."""
-    have = F.filter(F.transform(F.split(text(existing), r"\|"), F.trim), lambda v: v != "")
+    have = F.filter(F.transform(F.split(text(existing), r"\|"), lambda v: F.trim(v)), lambda v: v != "")
     return F.array_join(F.array_distinct(F.concat(have, F.array(text(value)))), " | ")
 
 
@@ -125,7 +125,7 @@ def script_languages(c: Column | str) -> Column:
 
 
 def split_languages(c: Column | str) -> Column:
-    return F.filter(F.transform(F.split(text(c), "[|,;]"), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(text(c), "[|,;]"), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def broad_locality(locality: Column, country: Column, state: Column) -> Column:
