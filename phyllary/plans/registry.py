@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from phyllary.plans import core_queries, place_queries, record_queries, source_queries
+from phyllary.plans import core_queries, place_queries, record_queries, refine_queries, source_queries
 
-MODULES = [core_queries, record_queries, place_queries, source_queries]
+MODULES = [core_queries, record_queries, place_queries, refine_queries, source_queries]
 
 
 def queries() -> dict:
