@@ -8,11 +8,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phyllary.functions.coordinates import feature_m
 from phyllary.functions.sphere import metres
+from phyllary.operators.ranks import numbered
 
 #: (tag keys, values or words, exact or contained, classes that follow), in the order in which classes are listed (fixed values).
 TAG_RULES = [
@@ -240,11 +241,11 @@ def route_class(tags: Column) -> Column:
 def distance_sample(df: DataFrame, group: str, distance: str, tie: str, nearest: int = 60, most: int = 100) -> DataFrame:
     """Of each group the nearest rows and an even sample of the rest, most rows in all (the feature: a lookup takes so many points).
 
-    Rows are ranked by distance, then tie. Beyond the nearest, the positions round(i * (rest - 1) / (slots - 1)), halves to even, are
+    Rows are ranked by distance, then tie; groups of any size are ranked (operators/ranks.py); rows without a group have no sample. Beyond the nearest, the positions round(i * (rest - 1) / (slots - 1)), halves to even, are
     taken. Adds distance_rank.
     """
-    w = Window.partitionBy(group)
-    ranked = df.withColumn("distance_rank", F.row_number().over(w.orderBy(distance, tie)).cast("long")).withColumn("__n", F.count("*").over(w))
+    counts = df.groupBy(group).agg(F.count("*").alias("__n"))
+    ranked = numbered(df, [group], [distance, tie], "distance_rank").join(counts, group)
     slots = most - nearest
     at = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.bround(i * (F.col("__n") - nearest - 1) / float(max(1, slots - 1))).cast("long") + nearest + 1)
     keep = (F.col("__n") <= most) | (F.col("distance_rank") <= nearest) | F.array_contains(at, F.col("distance_rank"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phyllary.functions.text import code, first_filled, institution, normal_url, text, type_token, words
+from phyllary.operators.ranks import HOT_ROWS, numbered
 
 
 def with_codes(records: DataFrame) -> DataFrame:
@@ -68,10 +69,10 @@ def image_basename(accepted_name: Column | str) -> Column:
     return F.concat_ws("_", specimen_code(), name_token(accepted_name), F.nullif(type_token("type_status"), F.lit("")))
 
 
-def numbered_names(df: DataFrame, base: Column, order: str, name: str = "file_name") -> DataFrame:
+def numbered_names(df: DataFrame, base: Column, order: str, name: str = "file_name", hot_rows: int = HOT_ROWS) -> DataFrame:
     """df with a name of its own for each row: the base, and for its n-th use (by the order column, from the second on) _n behind it.
 
-    Rows of one base are ranked together; a base that a large part of the rows share would be ranked in one (spilling) task.
+    Bases that more than hot_rows rows share are numbered by many tasks.
     """
-    n = F.row_number().over(Window.partitionBy("__base").orderBy(order))
-    return df.withColumn("__base", base).withColumn("__n", n).withColumn(name, F.when(F.col("__n") > 1, F.concat_ws("_", "__base", F.col("__n").cast("string"))).otherwise(F.col("__base"))).drop("__base", "__n")
+    ranked = numbered(df.withColumn("__base", base), ["__base"], [order], "__n", hot_rows)
+    return ranked.withColumn(name, F.when(F.col("__n") > 1, F.concat_ws("_", "__base", F.col("__n").cast("string"))).otherwise(F.col("__base"))).drop("__base", "__n")

@@ -11,6 +11,7 @@ from phyllary.operators.environment import habitat_summary, nearest_feature, par
 from phyllary.operators.export import darwin_core, read_delimited, write_darwin_core
 from phyllary.operators.identity import identity_key, image_basename, numbered_names, specimen_code, with_codes
 from phyllary.operators.labels import is_precise, label_candidates, parsed_coordinates
+from phyllary.operators.ranks import numbered
 from phyllary.operators.merge import duplicate_gatherings, merged_records
 from phyllary.schema import EXPORT_FIELDS, RECORD_FIELDS, as_records
 
@@ -60,6 +61,12 @@ def test_codes_and_names(spark):
     assert sorted(r.file_name for r in numbered_names(twice, F.col("__holder"), "seq").collect()) == ["E", "E_2", "TNS", "TNS_2"]
 
 
+def test_hot_groups_are_numbered_alike(spark):
+    df = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then null when id % 3 = 1 then 'hot' else concat('g', id % 50) end as g", "(id * 7919) % 3000 as o", "'x' as n")
+    one, many = numbered(df, ["g"], ["o"], "n"), numbered(df, ["g"], ["o"], "n", hot_rows=100)
+    assert sorted(map(tuple, one.select("id", "n").collect())) == sorted(map(tuple, many.select("id", "n").collect())) and numbered(df.limit(0), ["g"], ["o"], "n").count() == 0
+
+
 def test_darwin_core_round_trip(spark, tmp_path):
     df = records(spark, {"catalog_number": 'K "1", x', "institution_code": "K", "locality": "a\tb", "image_url": "https://a.example/1.jpg", "local_image_path": "images/1.jpg", "source": "gbif"})
     rows = darwin_core(df, F.lit("Pteris vittata"))
