@@ -134,3 +134,31 @@ def html_links(spark, d: str) -> DataFrame:
 
 
 QUERIES["html_links"], SQL["html_links"] = html_links, _sql(["source_record_url"], False)
+
+
+def image_prefix_match(spark, d: str) -> DataFrame:
+    """The first image file whose name begins with a record's catalogue number."""
+    from phyllary.sources.image_files import image_for_code
+
+    records = table(spark, d, "specimen_records")
+    files = table(spark, d, "label_reads").select(F.concat(F.lit("images/"), F.regexp_replace(text("catalog_number"), "[^A-Za-z0-9]", "-"), F.lit("_"), F.col("label_seq").cast("string"), F.lit(".jpg")).alias("path"))
+    return image_for_code(records.select("seq", "catalog_number"), files, "seq", F.col("catalog_number"))
+
+
+_STEM = "lower(regexp_replace(coalesce(catalog_number, ''), '[^A-Za-z0-9]', '', 'g'))"
+QUERIES["image_prefix_match"] = image_prefix_match
+SQL["image_prefix_match"] = f"""with c as (select seq, {_STEM} as code from specimen_records where {_STEM} <> ''), f as (select 'images/' || regexp_replace(coalesce(catalog_number, ''), '[^A-Za-z0-9]', '-', 'g') || '_' || label_seq || '.jpg' as path, {_STEM} || label_seq as stem from label_reads)
+select seq, min(path) as path from c join f on starts_with(stem, code) group by seq"""
+
+
+def download_cascade(spark, d: str) -> DataFrame:
+    """Addresses to try for each image."""
+    from phyllary.sources.image_files import download_urls
+
+    r = as_records(table(spark, d, "specimen_records"), "seq")
+    return r.select("seq", F.array_join(download_urls(F.col("source_record_id"), F.col("image_url")), " ").alias("urls"))
+
+
+QUERIES["download_cascade"] = download_cascade
+SQL["download_cascade"] = """select seq, case when coalesce(image_url, '') = '' then '' when regexp_full_match(coalesce(source_record_id, ''), '[0-9]+') then image_url || ' https://api.gbif.org/v1/image/cache/1200x/occurrence/' || source_record_id || '/media/' || md5(image_url)
+ || ' https://api.gbif.org/v1/image/cache/occurrence/' || source_record_id || '/media/' || md5(image_url) else image_url end as urls from specimen_records"""

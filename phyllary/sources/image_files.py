@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phyllary.functions.text import text
+
 #: Below these an image is too small, or too much compressed, for small labels.
 SHORT_SIDE, MEGAPIXELS, BYTES = 1200, 2.0, 250_000
 
@@ -77,6 +79,32 @@ def image_accounts(files: DataFrame, references: DataFrame) -> DataFrame:
     return flagged.agg(F.count("r").alias("referenced"), (F.count("*") - F.count("r")).alias("unreferenced"))
 
 
-def cache_address(record_id: Column, media_url: Column) -> Column:
+def cache_address(record_id: Column, media_url: Column, width: int | None = None) -> Column:
     """The aggregator's image cache: the record's number and the MD5 of the media's address."""
-    return F.concat(F.lit("https://api.gbif.org/v1/image/cache/occurrence/"), record_id, F.lit("/media/"), F.md5(media_url))
+    return F.concat(F.lit("https://api.gbif.org/v1/image/cache/" + (f"{width}x/" if width else "") + "occurrence/"), record_id, F.lit("/media/"), F.md5(media_url))
+
+
+def download_urls(record_id: Column, image_url: Column, cache: bool = True) -> Column:
+    """Addresses to try for an image, in order: its own, then the cache's two sizes where the record has the aggregator's number."""
+    number, url = text(record_id), text(image_url)
+    cached = F.when((number.rlike("^[0-9]+$")) & (url != "") & ~url.contains("api.gbif.org/v1/image/cache/") & F.lit(cache), F.array(cache_address(number, url, 1200), cache_address(number, url)))
+    return F.filter(F.concat(F.array(url), F.coalesce(cached, F.array().cast("array<string>"))), lambda u: u != "")
+
+
+def media_items(media: Column) -> Column:
+    """The entries of a media field, parted by semicolons or bars."""
+    return F.filter(F.transform(F.split(text(media), "[;|]"), lambda v: F.trim(v)), lambda v: v != "")
+
+
+def image_for_code(records: DataFrame, files: DataFrame, key: str, code: Column) -> DataFrame:
+    """key, path: for each record with a code the first image file (path, by name) whose name begins with the code; letters and digits
+    only, small ones. Codes have few lengths, so the beginnings of names in these lengths are joined by equality, not by pairs."""
+    plain = lambda c: F.lower(F.regexp_replace(text(c), r"(?U)[^\p{L}\p{N}]", ""))
+    codes = records.select(key, plain(code).alias("code")).where("code <> ''")
+    # no more lengths than a code has characters
+    lengths = sorted(r[0] for r in codes.select(F.length("code")).distinct().collect())
+    stems = files.select("path", plain(F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)).alias("stem")).where(F.lower("path").rlike(r"\.(?:jpe?g|png)$"))
+    if not lengths:
+        return codes.select(key, F.lit("").alias("path")).limit(0)
+    begun = stems.select("path", "stem", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).where("length(stem) >= n").select("path", F.expr("substring(stem, 1, n)").alias("code"))
+    return codes.join(begun.groupBy("code").agg(F.min("path").alias("path")), "code").select(key, "path")
