@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phyllary.functions.sphere import degrees
-from phyllary.llm.canonical import load_reference, resolver
+from phyllary.llm.canonical import Reference, load_reference
 from phyllary.session import durable
 
 #: Distinct combinations of dependent values in a group up to which the group is searched in one task; larger ones are solved by joins.
@@ -19,6 +21,13 @@ GROUP_COMBINATIONS = 4096
 NO_PLACE = ["", "-", "--", "?", "illegible", "unknown", "no locality", "s.loc.", "s. loc.", "s.l.", "n/a", "na", "none", "not recorded", "no data", "not stated", "sine loco", "sin datos", "locality lost", "see label", "unlocalised", "unlocalized", "null"]
 
 
+#: Words before a number that name no holder.
+NUMBER_WORDS = {"NO", "NR", "NUM", "NUMBER"}
+
+_NUMBER, _LETTERS = re.compile(r"\d[\d\s./-]*"), re.compile(r"[^\W\d_]+")
+_worker: dict = {}
+
+
 @dataclass(frozen=True)
 class Bundle:
     """Fields that survive together, from one member; usable says whether a member's values may."""
@@ -28,24 +37,41 @@ class Bundle:
     usable: Column
 
 
+def catalogue_parts(text: str | None) -> tuple[str, str] | None:
+    """(letters before the number, number without marks and leading zeros) of a catalogue number, None without a digit."""
+    up = (text or "").upper().replace("N°", " ").replace("Nº", " ")
+    found = _NUMBER.search(up)
+    if not found:
+        return None
+    letters = "".join(w for w in _LETTERS.findall(up[: found.start()]) if w not in NUMBER_WORDS)
+    return letters, re.sub(r"\D", "", found[0]).lstrip("0") or "0"
+
+
 def catalogue_key(records: DataFrame, entries: DataFrame) -> DataFrame:
     """records with holder and number: the holding institution and the catalogue number apart from writing.
 
     The letters in front of the number name the holder, else the institution_code's entry does. Both null for records without a
-    catalogue number (blank, null, no digit, such as "s.n.") or without a known holder.
+    catalogue number (blank, null, no digit, such as "s.n.") or without a known holder. One vectorised pass.
     """
-    resolve = resolver(records.sparkSession, load_reference(entries))
-    text = F.upper(F.coalesce(F.col("catalog_number"), F.lit("")))
-    number = F.regexp_replace(F.regexp_extract(text, r"(\d[\d\s./-]*)", 1), r"\D", "")
-    letters = F.regexp_replace(F.regexp_extract(text, r"^([^\d]*)", 1), r"(?U)[^\p{L}]|\bNO\b\.?|\bNR\b\.?|\bN°", "")
-    number = F.when(number != "", F.regexp_replace(number, r"^0+(?=\d)", ""))
-    out = records.withColumn("__n", number).withColumn("__l", letters)
-    # only numbers without letters need the list
-    typed = F.when(F.col("__n").isNotNull() & (F.col("__l") == ""), F.col("institution_code"))
-    out = out.withColumn("__e", resolve(F.lit("institution_code"), typed, F.lit(None).cast("string")))
-    holder = F.when(F.col("__l") != "", F.col("__l")).otherwise(F.col("__e.listed"))
-    both = F.col("__n").isNotNull() & holder.isNotNull()
-    return out.withColumn("holder", F.when(both, holder)).withColumn("number", F.when(both, F.col("__n"))).drop("__n", "__l", "__e")
+    sent, token = records.sparkSession.sparkContext.broadcast(load_reference(entries)), uuid.uuid4().hex
+
+    def key(catalogue: pd.Series, institution: pd.Series) -> pd.DataFrame:
+        if _worker.get("token") != token:
+            _worker.update(token=token, reference=Reference(sent.value))
+        reference, out = _worker["reference"], []
+        for text, code in zip(catalogue, institution, strict=True):
+            parts, holder = catalogue_parts(text), None
+            if parts:
+                holder = parts[0]
+                # only numbers without letters need the list
+                if not holder and code and code.strip():
+                    entry = reference.resolve("institution_code", code, None)[0]
+                    holder = reference.listed.get(entry) if entry else None
+            out.append((holder, parts[1]) if holder else (None, None))
+        return pd.DataFrame(out, columns=["holder", "number"], dtype=object)
+
+    made = F.pandas_udf(key, "struct<holder:string,number:string>")(F.col("catalog_number"), F.col("institution_code"))
+    return records.withColumn("__k", made).withColumn("holder", F.col("__k.holder")).withColumn("number", F.col("__k.number")).drop("__k")
 
 
 def names_place(text: Column) -> Column:
@@ -135,7 +161,9 @@ def choose_survivors(
     if len({y for _, y in deps}) < len(deps):
         raise ValueError("a bundle may be determined by one other only")
     g = list(group)
-    rows = df.dropna(subset=g)
+    rows = df
+    for c in g:
+        rows = rows.where(F.col(c).isNotNull())
     filled = [sum((F.when(F.length(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) > 0, 1).otherwise(0) for c in b.columns), F.lit(0)) for b in bundles]
     tr = F.coalesce(F.col(trust).cast("long"), F.lit(999_999))
     orders = [F.when(b.usable, F.struct((n.cast("long") * 1_000_000 - tr).alias("gain"), F.coalesce(F.col(recent).cast("string"), F.lit("")).alias("recent"), (-F.col(key)).alias("k"))) for b, n in zip(bundles, filled, strict=True)]
