@@ -90,6 +90,12 @@ def normal_url(c: Column | str) -> Column:
     return F.when(t.rlike(parts), built).otherwise(t)
 
 
+def same_host(a: Column | str, b: Column | str) -> Column:
+    """Whether two addresses have one host; false if one is no address."""
+    hosts = [F.lower(F.try_parse_url(text(c), F.lit("HOST"))) for c in (a, b)]
+    return F.coalesce(hosts[0] == hosts[1], F.lit(False))
+
+
 def redacted(c: Column | str) -> Column:
     """An address with the values of secret parameters masked."""
     return F.regexp_replace(text(c), r"(?i)([?&](?:" + "|".join(SECRET_PARAMETERS) + r")=)[^&\s)]+", "$1REDACTED")

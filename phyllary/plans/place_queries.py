@@ -299,11 +299,11 @@ _ROUTE = "regexp_matches(concat_ws(' ', coalesce(modern_place_name, ''), coalesc
 _LEVEL = f"case when {_KIND} = 'place_centroid' and {_ROUTE} then 3 when {_KIND} = 'refined_georeference' and {_ROUTE} then 2 when {_KIND} = 'refined_georeference' then 1 when {_KIND} = 'place_centroid' then 0 end"
 
 
-@query(f"""with a as (select cand_seq, catalog_number, row_number() over (partition by catalog_number order by {_LEVEL} desc, {_SCORE} desc, {_UNC}, cand_seq) as rk from coordinate_candidates
+@query(f"""with a as (select cand_seq, catalog_number, {_CA} < 0 as south, row_number() over (partition by catalog_number order by {_LEVEL} desc, {_SCORE} desc, {_UNC}, cand_seq) as rk from coordinate_candidates
  where starts_with({_SRC}, 'llm:') and {_CITED} and {_LEVEL} is not null and {_CA} between -90 and 90 and {_CO} between -180 and 180),
-f as (select *, min(case when cand_seq % 3 <> 0 then rk end) over (partition by catalog_number) as first from a)
+f as (select *, min(case when not south then rk end) over (partition by catalog_number) as first from a)
 select cand_seq, rk as anchor_rank, case when rk = first then 'used' when first is null or rk < first then 'ecological_conflict' else 'untouched' end as anchor_state from f""")
 def anchor_veto(spark, d):
-    """Where refinement starts when every third candidate is vetoed."""
+    """Where refinement starts when candidates south of the equator are vetoed."""
     anchors = anchor_rank(table(spark, d, "coordinate_candidates"), "catalog_number", "cand_seq", environment_only=True)
-    return first_without_veto(anchors, "catalog_number", F.col("cand_seq") % 3 == 0).select("cand_seq", "anchor_rank", "anchor_state")
+    return first_without_veto(anchors, "catalog_number", degrees(F.col("candidate_latitude")) < 0).select("cand_seq", "anchor_rank", "anchor_state")

@@ -51,15 +51,18 @@ def route_point_dedup(spark, d):
     return route_points(map_elements(pages), anchors).groupBy("context").agg(F.count("*").alias("points"))
 
 
-@query(f"""with p as (select cand_seq, round_even({_CA}, 7) as lat7, round_even({_CO}, 7) as lon7 from coordinate_candidates where {place_ok(_CA, _CO)}), h as (select lat7, lon7, max(cand_seq)::double as elevation from p where cand_seq % 2 = 0 group by all)
+_HT = deg("candidate_elevation_meters")
+
+
+@query(f"""with p as (select cand_seq, round_even({_CA}, 7) as lat7, round_even({_CO}, 7) as lon7, {_HT} as height from coordinate_candidates where {place_ok(_CA, _CO)}), h as (select lat7, lon7, max(height) as elevation from p where height is not null group by all)
 select 'known' as kind, count(*) as n from p join h using (lat7, lon7) union all select 'missing', count(*) from (select distinct lat7, lon7 from p) where (lat7, lon7) not in (select (lat7, lon7) from h)""")
 def elevation_lookup(spark, d):
-    """Points whose height is known at their place (seven decimals), and places still to be asked for."""
+    """Points whose height some candidate gives at their place (seven decimals), and places still to be asked for."""
     from phyllary.functions.sphere import degrees, usable_place
 
-    c = table(spark, d, "coordinate_candidates").select("cand_seq", degrees(F.col("candidate_latitude")).alias("a"), degrees(F.col("candidate_longitude")).alias("o"))
-    p = c.where(usable_place(F.col("a"), F.col("o"))).select("cand_seq", F.bround("a", 7).alias("lat7"), F.bround("o", 7).alias("lon7"))
-    h = p.where("cand_seq % 2 = 0").groupBy("lat7", "lon7").agg(F.max("cand_seq").cast("double").alias("elevation"))
+    c = table(spark, d, "coordinate_candidates").select("cand_seq", degrees(F.col("candidate_latitude")).alias("a"), degrees(F.col("candidate_longitude")).alias("o"), degrees(F.col("candidate_elevation_meters")).alias("height"))
+    p = c.where(usable_place(F.col("a"), F.col("o"))).select("cand_seq", F.bround("a", 7).alias("lat7"), F.bround("o", 7).alias("lon7"), "height")
+    h = p.where("height is not null").groupBy("lat7", "lon7").agg(F.max("height").alias("elevation"))
     known, missing = with_elevations(p, h)
     return known.where("elevation is not null").agg(F.lit("known").alias("kind"), F.count("*").alias("n")).unionByName(missing.agg(F.lit("missing").alias("kind"), F.count("*").alias("n")))
 
@@ -105,10 +108,10 @@ def json_answers(spark, d):
     return answer_candidates(_answers(spark, d), "answer", "m", "cand_seq").select("cand_seq", "candidate_latitude", "candidate_longitude", "score", "source_urls", "candidate_type")
 
 
-@query("""select label_seq, case when label_seq % 3 = 0 then 'from the answer' else coalesce(locality_text, '') end as locality_text, case when label_seq % 3 = 0 then case when coalesce(image_path, '') <> '' then 'llm_image_transcribed' else 'llm_text_augmented' end else label_status end as label_status from label_reads""")
+@query("""select label_seq, case when coalesce(locality_text, '') = '' then 'from the answer' else locality_text end as locality_text, case when coalesce(locality_text, '') = '' then case when coalesce(image_path, '') <> '' then 'llm_image_transcribed' else 'llm_text_augmented' end else label_status end as label_status from label_reads""")
 def label_overlays(spark, d):
-    """Label fields that an answer fills."""
-    labels = table(spark, d, "label_reads").withColumn("answer", F.when(F.col("label_seq") % 3 == 0, '{"localityText": "from the answer"}'))
+    """Label fields that an answer fills where they are empty."""
+    labels = table(spark, d, "label_reads").withColumn("answer", F.when(text("locality_text") == "", '{"localityText": "from the answer"}'))
     return label_overlay(labels, "answer").select("label_seq", "locality_text", "label_status")
 
 
