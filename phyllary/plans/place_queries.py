@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phyllary.functions.coordinates import (
@@ -22,12 +22,11 @@ from phyllary.functions.coordinates import (
 from phyllary.functions.place_names import similarity
 from phyllary.functions.sphere import degrees
 from phyllary.functions.text import text
-from phyllary.operators.candidates import anchor_rank, best_by_tier, first_without_veto, label_conflicts, tier, with_rank
+from phyllary.operators.candidates import anchor_rank, best_by_tier, first_without_veto, label_conflicts, with_rank
 from phyllary.operators.environment import distance_sample, habitat_score, habitat_table, nearest_of_list, route_class, tag_classes
 from phyllary.operators.gazetteer import match_places, read_places
 from phyllary.operators.labels import parsed_coordinates
 from phyllary.operators.proximity import pairs_within
-from phyllary.schema import as_records
 from phyllary.session import spread, table
 
 QUERIES: dict = {}
@@ -247,25 +246,46 @@ def name_jaccard(spark, d):
 
 
 QUERIES["name_jaccard"] = name_jaccard
-_HAY = "lower(concat_ws(' ', coalesce(country, ''), coalesce(state_province, ''), coalesce(locality, ''), coalesce(verbatim_locality, '')))"
+_HAY = "lower(concat_ws(' ', coalesce(modern_place_name, ''), coalesce(historical_place_name, ''), coalesce(locality_text, ''), coalesce(label_transcription, '')))"
 
 
-@query(f"""with n as (select place_id, country, state_province, unnest([place_name] || list_transform(split(coalesce(aliases, ''), '|'), lambda x: trim(x))) as name from gazetteer_entries where coalesce(trim(place_name), '') <> '' and {deg("decimal_latitude")} is not null and {deg("decimal_longitude")} is not null),
-h as (select seq, {_HAY} as hay, lower(coalesce(country, '')) as c, lower(coalesce(state_province, '')) as s from specimen_records),
-m as (select seq, place_id, least(0.95, 0.55 + max(length(name)) / 40.0) as score from h join n on name <> '' and contains(hay, lower(name))
- where (coalesce(trim(n.country), '') = '' or c = '' or contains(c, lower(trim(n.country))) or contains(lower(trim(n.country)), c)) and (coalesce(trim(n.state_province), '') = '' or s = '' or contains(s, lower(trim(n.state_province))) or contains(lower(trim(n.state_province)), s)) group by all),
-k as (select *, row_number() over (partition by seq order by score desc, place_id) as match_rank from m)
-select seq, place_id, round(score, 6) as match_score, match_rank from k where match_rank <= 5""")
+@query(f"""with n as (select place_id, unnest([place_name] || list_transform(split(coalesce(aliases, ''), '|'), lambda x: trim(x))) as name from gazetteer_entries where coalesce(trim(place_name), '') <> '' and {deg("decimal_latitude")} is not null and {deg("decimal_longitude")} is not null),
+t as (select distinct {_HAY} as hay from coordinate_candidates), m as (select hay, place_id, least(0.95, 0.55 + max(length(name)) / 40.0) as score from t join n on name <> '' and contains(hay, lower(name)) group by all),
+k as (select hay, place_id, score as found, row_number() over (partition by hay order by score desc, place_id) as match_rank from m)
+select cand_seq, place_id, round(found, 6) as match_score, match_rank from coordinate_candidates join k on k.hay = {_HAY} where match_rank <= 5""")
 def gazetteer_topk(spark, d):
-    """The five best gazetteer places named in each record's locality (a top-k report is the feature)."""
-    r = as_records(table(spark, d, "specimen_records"), "seq").select("seq", "country", "state_province", F.concat_ws(" ", "country", "state_province", "locality", "verbatim_locality").alias("hay"))
-    out = match_places(r, read_places(table(spark, d, "gazetteer_entries")), F.col("hay"), F.col("country"), F.col("state_province"))
-    return out.select("seq", "place_id", F.round("match_score", 6).alias("match_score"), "match_rank")
+    """The five best gazetteer places named in each candidate's texts (a top-k report is the feature)."""
+    c = table(spark, d, "coordinate_candidates").select("cand_seq", F.concat_ws(" ", *[text(x) for x in ("modern_place_name", "historical_place_name", "locality_text", "label_transcription")]).alias("hay"))
+    out = match_places(c, read_places(table(spark, d, "gazetteer_entries")), F.col("hay"), F.lit(""), F.lit(""))
+    return out.select("cand_seq", "place_id", F.round("match_score", 6).alias("match_score"), "match_rank")
 
 
 _SCORE, _UNC = f"coalesce({deg('score')}, 0)", f"coalesce({deg('candidate_uncertainty_meters')}, 'inf'::double)"
 _WGS = "regexp_replace(upper(coalesce(candidate_geodetic_datum, '')), '[^\\p{L}\\p{N}]', '', 'g') in ('', 'WGS84', 'EPSG4326')"
-_SRC, _KIND, _CITED = "coalesce(candidate_source, '')", "coalesce(candidate_type, '')", "coalesce(source_urls, '') <> ''"
+#: The tables' words for producers of candidates, in the engine's: (source, type) -> (source, type).
+PRODUCERS = {
+    ("gazetteer", "gazetteer_match"): ("gazetteer:local", "place_centroid"), ("label", "label_coordinates"): ("label:decimal", "verbatim_coordinate"), ("map", "route_point"): ("geospatial_refinement:map", "route_dem_refinement"),
+    ("llm", "llm_inference"): ("llm:model", "refined_georeference"), ("llm", "unresolved"): ("llm:model", "place_centroid"), ("dwc", "original"): ("original_dwc", "original_coordinate"),
+}
+
+
+def _produced(i: int) -> str:
+    own = ("candidate_source", "candidate_type")[i]
+    return "(case " + " ".join(f"when candidate_source = '{s}' and candidate_type = '{t}' then '{new[i]}'" for (s, t), new in PRODUCERS.items()) + f" else coalesce({own}, '') end)"
+
+
+def _candidates(spark, d) -> DataFrame:
+    """Candidates with their producers in the engine's words."""
+    c = table(spark, d, "coordinate_candidates").withColumnsRenamed({"candidate_source": "__s", "candidate_type": "__t"})
+    for i, name in enumerate(("candidate_source", "candidate_type")):
+        new = F.coalesce(F.col(("__s", "__t")[i]), F.lit(""))
+        for (s, t), words in PRODUCERS.items():
+            new = F.when((F.col("__s") == s) & (F.col("__t") == t), words[i]).otherwise(new)
+        c = c.withColumn(name, new)
+    return c.drop("__s", "__t")
+
+
+_SRC, _KIND, _CITED = _produced(0), _produced(1), "coalesce(source_urls, '') <> ''"
 _TIER = f"""case when starts_with({_SRC}, 'geospatial_refinement:') and {_KIND} = 'route_dem_refinement' and {_CITED} and {_WGS} then 1 when starts_with({_SRC}, 'llm:') and {_KIND} = 'refined_georeference' and {_WGS} then 2
  when starts_with({_SRC}, 'llm:') and {_KIND} = 'place_centroid' and {_CITED} and {_WGS} then 3 when starts_with({_SRC}, 'label:') then 4 when starts_with({_SRC}, 'gazetteer:') then 5 when {_SRC} = 'original_dwc' then 6 end"""
 _CA, _CO = deg("candidate_latitude"), deg("candidate_longitude")
@@ -283,14 +303,14 @@ _BEST = f"""b as (select catalog_number, cand_seq, {_TIER} as tier, {_CA} as a,
 
 @query(f"with {_BEST} select catalog_number, cand_seq, tier from b where rn = 1")
 def tiered_selection(spark, d):
-    c = table(spark, d, "coordinate_candidates").where("trim(catalog_number) <> ''")
+    c = _candidates(spark, d).where("trim(catalog_number) <> ''")
     return best_by_tier(c, "catalog_number", "cand_seq").select("catalog_number", "cand_seq", "tier")
 
 
 @query(f"""with {_BEST}, l as (select catalog_number, {_CA} as la, {_CO} as lo, coalesce({deg('candidate_uncertainty_meters')}, 0) as u from coordinate_candidates where starts_with({_SRC}, 'label:') and {place_ok(_CA, _CO)})
 select catalog_number, round(max({km("a", "o", "la", "lo")}), 6) as conflict_km from b join l using (catalog_number) where rn = 1 and {km("a", "o", "la", "lo")} > greatest(5.0, u / 1000) group by 1""")
 def conflict_review(spark, d):
-    c = table(spark, d, "coordinate_candidates").where("trim(catalog_number) <> ''")
+    c = _candidates(spark, d).where("trim(catalog_number) <> ''")
     out = label_conflicts(best_by_tier(c, "catalog_number", "cand_seq"), c, "catalog_number")
     return out.where("conflict_km is not null").select("catalog_number", F.round("conflict_km", 6).alias("conflict_km"))
 
@@ -305,5 +325,5 @@ f as (select *, min(case when not south then rk end) over (partition by catalog_
 select cand_seq, rk as anchor_rank, case when rk = first then 'used' when first is null or rk < first then 'ecological_conflict' else 'untouched' end as anchor_state from f""")
 def anchor_veto(spark, d):
     """Where refinement starts when candidates south of the equator are vetoed."""
-    anchors = anchor_rank(table(spark, d, "coordinate_candidates"), "catalog_number", "cand_seq", environment_only=True)
+    anchors = anchor_rank(_candidates(spark, d), "catalog_number", "cand_seq", environment_only=True)
     return first_without_veto(anchors, "catalog_number", degrees(F.col("candidate_latitude")) < 0).select("cand_seq", "anchor_rank", "anchor_state")
