@@ -14,6 +14,8 @@ from phyllary.session import durable
 SLOTS = 32_768
 #: Parts that each source is cut into, by hash, to sum its sizes without any task holding a source.
 PARTS = 1024
+#: As total: the size of all items of the sources that can give some.
+LISTED = "listed"
 
 
 def fair_schedule(shares: dict[str, float], slots: int) -> list[tuple[str, int]]:
@@ -42,13 +44,14 @@ def fair_schedule(shares: dict[str, float], slots: int) -> list[tuple[str, int]]
     return out
 
 
-def mix_sources(items: DataFrame, key: str, source: str, size: str, targets: DataFrame, total: int | None = None, slots: int = SLOTS, parts: int = PARTS) -> DataFrame:
+def mix_sources(items: DataFrame, key: str, source: str, size: str, targets: DataFrame, total: int | str | None = None, slots: int = SLOTS, parts: int = PARTS) -> DataFrame:
     """The mixture: key, source, repeat (from 0), size, slot and slot_start (the item's first token counted inside its source's
     stream); in order of (slot, slot_start) it is the interleaved stream.
 
     targets: source, target_share, max_repeats (a row for each source; at most a few thousand, so read on the driver). Only sources
     with items count; their shares are scaled to sum to 1. total: the size of the mixture; by default the largest at which every
-    such source fills its share with at most max_repeats uses of each item. With a larger total, short sources give what they have.
+    such source fills its share with at most max_repeats uses of each item; LISTED is the size of all their items. With a larger total,
+    short sources give what they have, max_repeats uses of each item, and the stream is interleaved by the shares that are reached.
     Every pass over a source takes its items in the same hash order; the last pass takes the items whose middle lies within the quota,
     so a source misses its quota by at most half an item. Items with null key, null or unlisted source, or size null, 0 or less are left
     out. Ties and repeated rows are items each. No items, or no shares above 0, give an empty result.
@@ -72,8 +75,12 @@ def mix_sources(items: DataFrame, key: str, source: str, size: str, targets: Dat
     scale = math.fsum(w for w, _ in live.values())
     share = {s: w / scale for s, (w, _) in live.items()}
     most = min(held[s] * live[s][1] / share[s] for s in live)
-    whole = int(most if total is None else total)
-    quota = {s: min(share[s] * whole, float(held[s] * live[s][1])) for s in live}
+    asked = int(most if total is None else sum(held[s] for s in live) if total == LISTED else total)
+    if asked <= 0:
+        return spark.createDataFrame([], schema)
+    quota = {s: min(share[s] * asked, float(held[s] * live[s][1])) for s in live}
+    # what the sources give: less than asked where some are short
+    whole = min(asked, math.ceil(math.fsum(quota.values()) - 1e-6))
     unit = max(-(-whole // slots), 1)
     # where each part begins in its source's pass
     begins, at = [], {}
@@ -83,7 +90,7 @@ def mix_sources(items: DataFrame, key: str, source: str, size: str, targets: Dat
             at[r["__source"]] = at.get(r["__source"], 0) + r["s"]
     starts = F.broadcast(spark.createDataFrame(begins, "__source string, __part int, __begin long"))
     limits = F.broadcast(spark.createDataFrame([(s, float(quota[s]), held[s], math.ceil(quota[s] / held[s] - 1e-12)) for s in live], "__source string, __quota double, __held long, __passes int"))
-    schedule = fair_schedule(share, math.ceil(whole / unit) + len(live))
+    schedule = fair_schedule(quota, math.ceil(whole / unit) + len(live))
     slot_of = F.broadcast(spark.createDataFrame([(s, j, t) for t, (s, j) in enumerate(schedule)], "__source string, __block long, slot long"))
     within = Window.partitionBy("__source", "__part").orderBy("__hash", "__key").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("__before", F.coalesce(F.sum("__size").over(within), F.lit(0))).join(starts, ["__source", "__part"]).join(limits, "__source")

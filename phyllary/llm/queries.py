@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phyllary.llm.canonical import map_to_list
-from phyllary.llm.mixing import mix_report, mix_sources
+from phyllary.llm.mixing import LISTED, mix_report, mix_sources
 from phyllary.llm.name_variants import link_names, variant_pairs
 from phyllary.llm.packing import pack_items, packing_report
 from phyllary.llm.sentences import split_sentences
@@ -96,8 +96,8 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    """The largest mixture in which every source has its share."""
-    return mix_sources(_sized(spark, d), "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"))
+    """A mixture as large as all listed texts: every source has its share of that, or all it can give with max_repeats."""
+    return mix_sources(_sized(spark, d), "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"), total=LISTED)
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
