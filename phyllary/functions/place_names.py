@@ -49,3 +49,22 @@ def similarity(name: Column, context: Column) -> Column:
         return pd.Series(out, dtype="float64")
 
     return F.pandas_udf(compare, "double")(name, context)
+
+
+def best_similarity(names: Column, context: Column) -> Column:
+    """The greatest name_similarity of an array of names, however many; 0 without names."""
+
+    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
+        memo: dict = {}
+        out = []
+        for names, context in zip(a, b, strict=True):
+            best = 0.0
+            for name in [] if names is None else names:
+                pair = (name, context)
+                if pair not in memo:
+                    memo[pair] = name_similarity(*pair)
+                best = max(best, memo[pair])
+            out.append(best)
+        return pd.Series(out, dtype="float64")
+
+    return F.pandas_udf(compare, "double")(names, context)

@@ -45,10 +45,14 @@ def map_elements(pages: DataFrame) -> DataFrame:
     return merged.withColumn("classes", tag_classes(F.col("tags"))).withColumn("is_route", (F.col("osm_type") == "way") & (highway.isin(ROUTE_KINDS) | railway.isin(RAIL_KINDS)))
 
 
+def route_names(tags: Column) -> Column:
+    """All filled names of a way, in any language."""
+    return F.map_values(F.map_filter(tags, lambda k, v: (k.isin("name", "old_name", "alt_name") | k.startswith("name:")) & (F.coalesce(v, F.lit("")) != "")))
+
+
 def has_name(tags: Column) -> Column:
     """Whether one of a way's names is filled."""
-    names = F.map_filter(tags, lambda k, v: (k.isin("name", "old_name", "alt_name") | k.startswith("name:")) & (F.coalesce(v, F.lit("")) != ""))
-    return F.size(names) > 0
+    return F.size(route_names(tags)) > 0
 
 
 def route_points(elements: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -108,12 +112,10 @@ def refined_candidates(best: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def scored_inputs(points: DataFrame, anchors: DataFrame) -> DataFrame:
-    """points joined to what their anchor tells: class_score of the way, name_score against the anchor's place text, target height and
-    uncertainty; without a habitat prior. anchors: context, place_text, target, anchor_uncertainty_m."""
-    from phyllary.functions.place_names import similarity
+    """points joined to what their anchor tells: class_score of the way, name_score (the best of all its names) against the anchor's
+    place text, target height and uncertainty; without a habitat prior. anchors: context, place_text, target, anchor_uncertainty_m."""
+    from phyllary.functions.place_names import best_similarity
 
-    names = F.array_join(F.map_values(F.map_filter("tags", lambda k, v: k.isin("name", "old_name", "alt_name") | k.startswith("name:"))), " | ")
     j = points.join(anchors.select("context", "place_text", "target", "anchor_uncertainty_m"), "context")
-    each = F.split(names, r" \| ")
-    j = j.withColumn("class_score", route_class(F.col("tags"))).withColumn("name_score", F.greatest(*[F.coalesce(similarity(F.get(each, i), F.col("place_text")), F.lit(0.0)) for i in range(3)]))
+    j = j.withColumn("class_score", route_class(F.col("tags"))).withColumn("name_score", best_similarity(route_names(F.col("tags")), F.col("place_text")))
     return j.withColumn("habitat", F.lit(None).cast("double")).withColumn("hard", F.lit(False))

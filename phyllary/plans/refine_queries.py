@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phyllary.functions.text import text
-from phyllary.operators.refinement import best_route_point, map_elements, route_points, search_radius, with_elevations
+from phyllary.operators.refinement import best_route_point, map_elements, route_points, scored_inputs, search_radius, with_elevations
 from phyllary.operators.responses import answer_candidates, json_object, label_overlay, stored_and_missing
 from phyllary.plans.place_queries import _CA, _CO, deg, km, place_ok
 from phyllary.session import table
@@ -86,6 +86,39 @@ def route_choice(spark, d):
     return best_route_point(p).select("context", "osm_id", F.round("point_score", 6).alias("point_score"), "uncertainty_m")
 
 
+#: Names of a way in the order in which they are tagged, and words that they and places are made of.
+_NAME_KEYS = ["name", "alt_name", "old_name", "name:de", "name:en", "name:fr", "name:zh"]
+_WORDS = ["alder", "brook", "cedar", "delta", "ember", "falls", "grove", "heath", "inlet", "jetty", "knoll"]
+_WORD = "['" + "', '".join(_WORDS) + "']"
+_NAMES = f"list_transform(range(event_id % 8), lambda k: [{_WORD}[(event_id + 3 * k) % 11 + 1], {_WORD}[(event_id * 5 + 4 * k + 1) % 11 + 1]])"
+
+
+@query(f"""with e as (select event_id // 10 as c, event_id, row_number() over (partition by event_id // 10 order by event_id) - 1 as pos, {_NAMES} as names from events),
+p as (select *, [{_WORD}[c % 11 + 1], {_WORD}[c * 3 % 11 + 1], {_WORD}[c * 7 % 11 + 1]] as place, 6371.0088 * radians((pos + 1) / 10000.0) * 1000 as m from e),
+n as (select *, coalesce(list_max(list_transform(names, lambda x: case when contains(place[1] || ' ' || place[2] || ' ' || place[3], x[1] || ' ' || x[2]) then 1.0
+ else len(list_intersect(list_distinct(x), list_distinct(place)))::double / len(list_distinct(list_concat(x, place))) end)), 0.0)::double as name_score from p),
+s as (select *, 0.55 * exp(-m / 1000.0) + 0.35 * name_score + 0.10 as score from n where name_score >= 0.35),
+k as (select *, row_number() over (partition by c order by score desc, m, pos) as rn, max(score) over (partition by c) as best from s),
+sp as (select c, max(m) as far, min(m) as near from k where score >= best - 0.05 group by 1)
+select c::varchar as context, event_id as osm_id, round(score, 6) as point_score, round_even(greatest(250.0, greatest(far - m, m - near) / 2), 0)::int as uncertainty_m from k join sp using (c) where rn = 1""")
+def route_by_names(spark, d):
+    """The best route point of each anchor without a target height, where ways have up to seven names and any of them may be the place's."""
+    i, c = F.col("event_id"), F.floor(F.col("event_id") / 10)
+
+    def word(n):
+        return F.element_at(F.array(*map(F.lit, _WORDS)), (n % 11 + 1).cast("int"))
+
+    names = [F.when(i % 8 > k, F.concat_ws(" ", word(i + 3 * k), word(i * 5 + 4 * k + 1), F.lit("Trail"))).alias(key) for k, key in enumerate(_NAME_KEYS)]
+    e = table(spark, d, "events").select(c.alias("c"), "event_id", *[F.struct(F.lit("path").alias("highway"), *names).alias("tags")])
+    ways = e.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("event_id", "tags"))).alias("ways"))
+    elements = F.transform("ways", lambda w, pos: F.struct(F.lit("way").alias("type"), w["event_id"].alias("id"), w["tags"].alias("tags"), F.array(F.struct((F.lit(0.0) + (pos + 1) / 10000.0).alias("lat"), F.lit(20.0).alias("lon"))).alias("geometry")))
+    pages = ways.select(F.col("c").cast("string").alias("context"), F.to_json(F.struct(elements.alias("elements"))).alias("body"))
+    place = F.concat_ws(" ", word(F.col("c")), word(F.col("c") * 3), word(F.col("c") * 7))
+    anchors = ways.select(F.col("c").cast("string").alias("context"), F.lit(0.0).alias("latitude"), F.lit(20.0).alias("longitude"), F.lit(2000.0).alias("radius_m"), place.alias("place_text"), F.lit(None).cast("double").alias("target"), F.lit(800.0).alias("anchor_uncertainty_m"))
+    points = route_points(map_elements(pages), anchors).withColumn("elevation", F.lit(100.0))
+    return best_route_point(scored_inputs(points, anchors)).select("context", "osm_id", F.round("point_score", 6).alias("point_score"), "uncertainty_m")
+
+
 _UN = deg("candidate_uncertainty_meters")
 
 
