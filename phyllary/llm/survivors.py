@@ -205,7 +205,8 @@ def choose_survivors(
 
 def _by_joins(combos: DataFrame, g: list[str], order: list[int], deps: list[tuple[int, int]]) -> DataFrame:
     """The optimum of each group by messages along the dependencies, leaves first: for each value of x the best value of y that may go
-    with it; no group is ever in one task. Roots are chosen last, each by its own gain and what depends on it."""
+    with it; no group is ever in one task. Roots are chosen last, each by its own gain and what depends on it. A group without any
+    value of a bundle has the empty value there, with which any value of what depends on it may go."""
     children: dict[int, list[int]] = {}
     for x, y in deps:
         children.setdefault(x, []).append(y)
@@ -215,6 +216,9 @@ def _by_joins(combos: DataFrame, g: list[str], order: list[int], deps: list[tupl
         """Each value of bundle i with its total: g, id, total (gain, ties), chosen (map bundle -> id)."""
         values = combos.where(F.col(f"__b{i}").isNotNull()).select(*g, F.col(f"__b{i}").alias("o")).distinct()
         out = values.select(*g, (-F.col("o.k")).alias("id"), F.col("o.gain").alias("gain"), F.array(F.struct(F.col("o.recent"), F.col("o.k"))).alias("ties"), F.create_map(F.lit(i), -F.col("o.k")).alias("chosen"))
+        without = combos.groupBy(*g).agg(F.count(f"__b{i}").alias("n")).where("n = 0")
+        no_tie, none = F.array(F.struct(F.lit("").alias("recent"), F.lit(0).cast("long").alias("k"))), F.create_map().cast("map<int,bigint>")
+        out = out.unionByName(without.select(*g, F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("gain"), no_tie.alias("ties"), none.alias("chosen")))
         for y in children.get(i, []):
             below = message(y).select(*g, F.col("id").alias("yid"), F.struct("gain", "ties", "chosen_e").alias("m"))
             seen = combos.where(F.col(f"__b{i}").isNotNull()).select(*g, (-F.col(f"__b{i}.k")).alias("id"), (-F.col(f"__b{y}.k")).alias("yid")).distinct()
