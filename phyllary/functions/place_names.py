@@ -1,52 +1,66 @@
-"""Names of routes and places compared. Pure Python, with a vectorised form."""
+"""Names of routes and places compared. Pure Python, with vectorised forms."""
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Common words of route names that tell nothing, longest first where one holds another (fixed values).
+#: Common words of route names that tell nothing, taken out in this order (fixed values).
 GENERIC = ["forest bathing trail", "hiking trail", "mountain trail", "trail", "road", "track", "登山步道", "森林浴步道", "步道", "登山道", "林道", "古道"]
 
 
-def plain_name(text: str | None) -> str:
-    """Compatible characters, case folded, without common words, words with single blanks between."""
-    t = unicodedata.normalize("NFKC", text or "").casefold()
+@dataclass(frozen=True)
+class Features:
+    """What a name is compared by: its words in a row, its words of three letters or more, and its Han characters two by two."""
+
+    plain: str
+    words: frozenset[str]
+    pairs: frozenset[str]
+
+
+def _class(c: str) -> str:
+    """han, word (other letters, digits and underscores) or gap."""
+    if "㐀" <= c <= "鿿":
+        return "han"
+    return "word" if c.isalnum() or c == "_" else "gap"
+
+
+@lru_cache(100_000)
+def features(text: str) -> Features:
+    t = unicodedata.normalize("NFKC", text).casefold()
     for g in GENERIC:
-        t = t.replace(g, " ")
-    return " ".join(re.findall(r"\w+", t))
+        t = " ".join(t.split(g))
+    runs = [(k, "".join(cs)) for k, cs in groupby(t, _class)]
+    plain = "".join(r if k != "gap" else " " for k, r in runs).strip()
+    pairs = {r[i : i + 2] for k, r in runs if k == "han" for i in range(0, len(r) - 1, 2)}
+    return Features(plain, frozenset(w for w in plain.split() if len(w) > 2), frozenset(pairs))
+
+
+def _share(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / len(a | b) if a and b else 0.0
 
 
 def name_similarity(name: str | None, context: str | None) -> float:
     """1 if one name holds the other, else the greater Jaccard share of words of three letters or of pairs of Han characters."""
-    n, c = plain_name(name), plain_name(context)
-    if not n or not c:
+    n, c = features(name or ""), features(context or "")
+    if not n.plain or not c.plain:
         return 0.0
-    if len(n) >= 2 and (n in c or c in n):
+    if len(n.plain) > 1 and (n.plain in c.plain or c.plain in n.plain):
         return 1.0
-    best = 0.0
-    for pick in (lambda t: {w for w in t.split() if len(w) >= 3}, lambda t: set(re.findall("[㐀-鿿]{2}", t))):
-        a, b = pick(n), pick(c)
-        if a and b:
-            best = max(best, len(a & b) / len(a | b))
-    return best
+    return max(_share(n.words, c.words), _share(n.pairs, c.pairs))
 
 
 def similarity(name: Column, context: Column) -> Column:
     """name_similarity of two columns."""
 
     def compare(a: pd.Series, b: pd.Series) -> pd.Series:
-        memo: dict = {}
-        out = []
-        for pair in zip(a, b, strict=True):
-            if pair not in memo:
-                memo[pair] = name_similarity(*pair)
-            out.append(memo[pair])
-        return pd.Series(out, dtype="float64")
+        return pd.Series([name_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return F.pandas_udf(compare, "double")(name, context)
 
@@ -55,16 +69,6 @@ def best_similarity(names: Column, context: Column) -> Column:
     """The greatest name_similarity of an array of names, however many; 0 without names."""
 
     def compare(a: pd.Series, b: pd.Series) -> pd.Series:
-        memo: dict = {}
-        out = []
-        for names, context in zip(a, b, strict=True):
-            best = 0.0
-            for name in [] if names is None else names:
-                pair = (name, context)
-                if pair not in memo:
-                    memo[pair] = name_similarity(*pair)
-                best = max(best, memo[pair])
-            out.append(best)
-        return pd.Series(out, dtype="float64")
+        return pd.Series([max((name_similarity(n, c) for n in ns), default=0.0) if ns is not None else 0.0 for ns, c in zip(a, b, strict=True)], dtype="float64")
 
     return F.pandas_udf(compare, "double")(names, context)

@@ -67,8 +67,9 @@ def name_matches(query: Column | str, *candidates: Column | str) -> Column:
 
 def code_variants(*columns: Column | str) -> Column:
     """The codes that the texts may stand for: each whole text and each of its parts, without empty ones."""
-    parts = F.flatten(F.array(*[F.concat(F.array(text(c)), F.split(text(c), r"[:/;,()\s-]+")) for c in columns]))
-    return F.array_distinct(F.filter(F.transform(parts, lambda p: F.regexp_replace(F.upper(p), "[^A-Z0-9]+", "")), lambda p: p != ""))
+    marks = ":/;,()-"
+    parts = [F.concat(F.array(text(c)), F.split(F.translate(text(c), marks, " " * len(marks)), r"\s+")) for c in columns]
+    return F.array_distinct(F.filter(F.transform(F.flatten(F.array(*parts)), code), lambda p: p != ""))
 
 
 def institution_allowed(configured: Sequence[str], *columns: Column | str) -> Column:
@@ -103,7 +104,8 @@ def redacted(c: Column | str) -> Column:
 
 def safe_token(c: Column | str, fallback: str = "unknown") -> Column:
     """Letters, digits, point, hyphen and underscore; other runs become one underscore; at most 140 characters."""
-    t = F.substring(F.regexp_replace(F.regexp_replace(text(c), "[^A-Za-z0-9._-]+", "_"), "^_+|_+$", ""), 1, 140)
+    runs = F.regexp_extract_all(text(c), F.lit(r"([\w.-]+)"), 1)
+    t = F.substring(F.btrim(F.array_join(runs, "_"), F.lit("_")), 1, 140)
     return F.coalesce(F.nullif(t, F.lit("")), F.lit(fallback))
 
 

@@ -116,7 +116,7 @@ def decimal_extract(spark, d):
     return found.select("seq", "c.latitude", "c.longitude", F.regexp_extract("c.precision_kind", r"decimal_(\d+)dp", 1).cast("int").alias("places"))
 
 
-_U = "(?:m(?:eters?|etres?)?|ft\\.?|feet|foot)"
+_U = "(?:meters|metres|meter|metre|feet|foot|ft[.]|ft|m)"
 _RG, _SG = f"(?i)(-?\\d+(?:\\.\\d+)?)\\s*({_U})?\\s*[-–~]\\s*(-?\\d+(?:\\.\\d+)?)\\s*({_U})", f"(?i)(-?\\d+(?:\\.\\d+)?)\\s*({_U})"
 
 
