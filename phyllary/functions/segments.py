@@ -1,4 +1,10 @@
-"""Several values packed in one text: a multi-pattern automaton finds known whole values, dynamic programming picks the best cover. Pure Python."""
+"""Several values packed in one text: a multi-pattern automaton finds known whole values, dynamic programming picks the best cover.
+Pure Python.
+
+A text is cut into atoms at every mark that may part values. A value is a run of atoms. Runs that are known whole values cost least,
+whatever marks they hold; a few shapes cost a little more (a quoted text, "Surname, Given", an address up to the next one, codes joined
+by a slash); lone atoms cost more, and other runs are no values. The cheapest cover of all atoms gives the values.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +22,8 @@ BODY_WORDS = frozenset(
 )
 #: Starts of addresses.
 ADDRESS_STARTS = ("https://", "http://", "ftp://", "urn:", "doi:", "ark:", "www.", "lsid:", "hdl:")
+#: What may stand before the start of an address, as a class of a regular expression.
+BEFORE_ADDRESS = r"[\s\"'<\[(,;|]"
 
 _AND = "|".join(re.escape(w) for w in AND_WORDS)
 _NAME_MARKS = re.compile(rf"(?P<hard>\s{{0,32}}[;|\n\t\r]+\s*|\s{{1,32}}[/+]\s+)|(?P<soft>\s{{0,32}},\s*|\s{{1,32}}(?:{_AND})(?=\s))", re.I)
@@ -23,16 +31,21 @@ _AND_AL = re.compile(rf"[\s,;|]{{0,32}}(?:(?:\b(?:et|and|und|y)|&)\s+(?:al(?:ii|
 _QUOTED = re.compile(r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)+)'(?=\s*(?:[,;|\]]|$))|«([^»]*)»|“([^”]*)”")
 _INITIALS = re.compile(r"^(?:[^\W\d_]{1,2}\.[\s-]*)+$|^[^\W\d_]$")
 _GIVEN = re.compile(r"^(?:[^\W\d_]+\.?)(?:[\s-]+(?:[^\W\d_]{1,2}\.[\s-]*)+)?$|^(?:[^\W\d_]{1,2}\.[\s-]*)+$")
+_PARTICLES = frozenset("de von van da del di le la".split())
 _WORD = re.compile(r"[^\W\d_]+")
+_ADDRESS_MARKS = re.compile(rf"{BEFORE_ADDRESS}+|>+(?={BEFORE_ADDRESS})")
+_LANGUAGE_MARKS = re.compile(r"(?P<hard>[\s,;|&+]+|\s/\s)|(?P<slash>/)")
+_FIGURES = re.compile(r"\d+")
 _ROUND = " \t\r\n\"'“”«»[](){}<>,;|"
 
 
 @dataclass
 class Atoms:
-    """Pieces between possible marks, and before each piece but the first what parts it: hard, comma or and."""
+    """Pieces between possible marks; before each piece what parts it from the one before (hard, comma, and, slash); quoted pieces."""
 
     spans: list[tuple[int, int]] = field(default_factory=list)
     marks: list[str] = field(default_factory=list)
+    quoted: set[tuple[int, int]] = field(default_factory=set)
 
 
 def automaton(values: Iterable[str]) -> ahocorasick.Automaton | None:
@@ -47,148 +60,167 @@ def automaton(values: Iterable[str]) -> ahocorasick.Automaton | None:
     return a
 
 
-def _known_spans(text: str, known: ahocorasick.Automaton | None) -> set[tuple[int, int]]:
-    return {(end - n + 1, end + 1) for end, n in known.iter(text)} if known else set()
-
-
-def _trim(text: str, a: int, b: int, chars: str = _ROUND) -> tuple[int, int]:
-    while a < b and text[a] in chars:
+def _trim(text: str, a: int, b: int) -> tuple[int, int]:
+    while a < b and text[a] in _ROUND:
         a += 1
-    while b > a and text[b - 1] in chars:
+    while b > a and text[b - 1] in _ROUND:
         b -= 1
     return a, b
 
 
-def name_atoms(text: str) -> tuple[Atoms, set[tuple[int, int]]]:
-    """The atoms of a field of names and the spans of quoted values, which are whole."""
-    # blank out what is no value, keeping the places
-    text = _AND_AL.sub(lambda m: ";" * len(m[0]), text)
-    quoted = [(m.start(), m.end(), next(i for i in range(1, 5) if m[i] is not None)) for m in _QUOTED.finditer(text)]
-    spans = {m for s, e, _ in quoted if (m := _trim(text, s, e)) and m[0] < m[1]}
-    out, at, mark = Atoms(), 0, "hard"
+def _add(out: Atoms, text: str, a: int, b: int, mark: str) -> None:
+    a, b = _trim(text, a, b)
+    if a < b:
+        out.spans.append((a, b))
+        out.marks.append(mark)
 
-    def add(a: int, b: int, how: str) -> None:
-        a, b = _trim(text, a, b)
-        if a < b:
-            out.spans.append((a, b))
-            out.marks.append(how)
 
-    pieces = []
-    for s, e, _ in quoted:
-        pieces += [(at, s, False), (s, e, True)]
-        at = e
+def name_atoms(text: str) -> Atoms:
+    """Names are parted by marks and words; what is quoted is whole; "et al." is none."""
+    # blank out what is no value, keeping the places
+    text = _AND_AL.sub(lambda m: ";" * len(m[0]), text)
+    out, at, mark, pieces = Atoms(), 0, "hard", []
+    for m in _QUOTED.finditer(text):
+        pieces += [(at, m.start(), False), (m.start(), m.end(), True)]
+        at = m.end()
     pieces.append((at, len(text), False))
     for s, e, whole in pieces:
         if whole:
-            add(s, e, "hard")
-            mark = "hard"
-            continue
-        start = s
-        for m in _NAME_MARKS.finditer(text, s, e):
-            add(start, m.start(), mark)
-            mark = "hard" if m["hard"] else "comma" if "," in m[0] else "and"
-            start = m.end()
-        add(start, e, mark)
+            _add(out, text, s, e, "hard")
+            out.quoted.add(_trim(text, s, e))
+        else:
+            start = s
+            for m in _NAME_MARKS.finditer(text, s, e):
+                _add(out, text, start, m.start(), mark)
+                mark = "hard" if m["hard"] else "comma" if "," in m[0] else "and"
+                start = m.end()
+            _add(out, text, start, e, mark)
         mark = "hard"
-    return out, spans
-
-
-def _is_body(words: list[str]) -> bool:
-    return any(w in BODY_WORDS for w in words)
-
-
-def _cost(text: str, atoms: Atoms, i: int, j: int, known: set[tuple[int, int]], whole: set[tuple[int, int]]) -> float:
-    """What it costs to take atoms i..j-1 as one value: little for known whole values, by shape for others."""
-    a, b = atoms.spans[i][0], atoms.spans[j - 1][1]
-    if j - i == 1 and (a, b) in whole:
-        return 0.05
-    if (a, b) in known:
-        return 0.2 + 0.05 * (j - i)
-    parts = [text[s:e] for s, e in atoms.spans[i:j]]
-    words = [w.lower() for w in _WORD.findall(text[a:b])]
-    marks = atoms.marks[i + 1 : j]
-    if not marks:
-        if _INITIALS.match(parts[0]):
-            return 5.0
-        if len(words) == 1:
-            return 2.5
-        return 1.0
-    if marks == ["comma"]:
-        left, right = _WORD.findall(parts[0]), parts[1]
-        if _is_body(words):
-            # "Alpine Survey, Place": the body's own name comes after the comma
-            return 1.1 if _is_body([w.lower() for w in left]) and len(_WORD.findall(right)) == 1 else 6.0
-        if len(left) == 1 and _GIVEN.match(right):
-            return 1.05 if len(parts[0]) > 2 else 6.0
-        if len(left) == 2 and left[0].lower() in ("de", "von", "van", "da", "del", "di", "le", "la") and _GIVEN.match(right):
-            return 1.1
-        return 6.0
-    if "and" in marks and _is_body(words) and " of " in f" {parts[0].lower()} " and len(parts) - 1 - marks.count("comma") == 1:
-        # "Survey of Rivers and Coasts", the same with ", Place" behind or "The Place" before
-        k = marks.index("and")
-        if k == 0 and len(_WORD.findall(parts[1])) == 1 and (len(parts) == 2 or len(parts) == 3 and len(_WORD.findall(parts[2])) == 1 and text[a:b].lower().startswith(tuple(BODY_WORDS))):
-            return 1.2
-    return 9.0 * (j - i)
-
-
-def name_spans(text: str, known: ahocorasick.Automaton | None, longest: int = 4) -> list[tuple[int, int]]:
-    """The places of the names in the text, in order."""
-    atoms, whole = name_atoms(text)
-    n = len(atoms.spans)
-    if n <= 1:
-        return list(atoms.spans)
-    hits = _known_spans(text, known)
-    best: list[tuple[float, int]] = [(0.0, 0)]
-    for j in range(1, n + 1):
-        options = []
-        for i in range(j - 1, max(-1, j - 1 - longest), -1):
-            options.append((best[i][0] + _cost(text, atoms, i, j, hits, whole), i))
-            if atoms.marks[i] == "hard":
-                break
-        best.append(min(options))
-    out, j = [], n
-    while j:
-        i = best[j][1]
-        out.append((atoms.spans[i][0], atoms.spans[j - 1][1]))
-        j = i
-    return out[::-1]
+    return out
 
 
-_ADDRESS = automaton(ADDRESS_STARTS)
-_BEFORE_ADDRESS = set(" \t\r\n\"'<[(,;|")
+def address_atoms(text: str) -> Atoms:
+    out, at = Atoms(), 0
+    for m in _ADDRESS_MARKS.finditer(text):
+        _add(out, text, at, m.start(), "hard")
+        at = m.end()
+    _add(out, text, at, len(text), "hard")
+    return out
 
 
-def address_spans(text: str, known: ahocorasick.Automaton | None) -> list[tuple[int, int]]:
-    """The places of the addresses: a mark parts only where a known start of an address or a known whole address follows."""
-    low = text.lower()
-    hits = _known_spans(text, known)
-    starts = {s for s, _ in _known_spans(low, _ADDRESS) | hits if s == 0 or text[s - 1] in _BEFORE_ADDRESS}
-    inside = {p for s, e in hits if s in starts for p in starts if s < p < e}
-    cuts = sorted({0, len(text), *(starts - inside)})
-    spans = [_trim(text, a, b) for a, b in zip(cuts, cuts[1:])]
-    return [(a, b) for a, b in spans if a < b]
+def language_atoms(text: str) -> Atoms:
+    out, at, mark = Atoms(), 0, "hard"
+    for m in _LANGUAGE_MARKS.finditer(text):
+        _add(out, text, at, m.start(), mark)
+        mark, at = ("hard" if m["hard"] else "slash"), m.end()
+    _add(out, text, at, len(text), mark)
+    return out
 
 
-_LANGUAGE_MARKS = re.compile(r"[\s,;|&+]+|\s/\s")
+ATOMS = {"name": name_atoms, "address": address_atoms, "language": language_atoms}
+
+
+def pattern_of(text: str, kind: str) -> str:
+    """What a known value is looked up by: itself, an address with each of its figures as 0."""
+    return _FIGURES.sub("0", text) if kind == "address" else text
+
+
+def known_runs(text: str, kind: str, atoms: Atoms, known: ahocorasick.Automaton | None) -> dict[int, list[int]]:
+    """The runs of atoms that are known whole values: first atom -> atoms behind the last."""
+    if known is None or not atoms.spans:
+        return {}
+    begins = {a: i for i, (a, _) in enumerate(atoms.spans)}
+    ends = {b: j + 1 for j, (_, b) in enumerate(atoms.spans)}
+    searched, place = text, None
+    if kind == "address":
+        # places in the text of the characters that are searched, for each its first and the one behind it
+        place, pieces, at = [], [], 0
+        for m in _FIGURES.finditer(text):
+            pieces += [text[at : m.start()], "0"]
+            place += [*((p, p + 1) for p in range(at, m.start())), (m.start(), m.end())]
+            at = m.end()
+        pieces.append(text[at:])
+        place += [(p, p + 1) for p in range(at, len(text))]
+        searched = "".join(pieces)
+    out: dict[int, list[int]] = {}
+    for last, n in known.iter(searched):
+        a, b = (last - n + 1, last + 1) if place is None else (place[last - n + 1][0], place[last][1])
+        i, j = begins.get(a), ends.get(b)
+        if i is not None and j is not None:
+            out.setdefault(i, []).append(j)
+    return out
 
 
-def language_spans(text: str, known: ahocorasick.Automaton | None) -> list[tuple[int, int]]:
-    """The places of the language codes; a slash without blanks joins an undecided language, known or not."""
-    out, at = [], 0
-    for m in [*_LANGUAGE_MARKS.finditer(text), None]:
-        a, b = _trim(text, at, m.start() if m else len(text))
-        # a word that parts names parts codes too, unless it is known as a code, as Estonian's "et" may be
-        if a < b and (text[a:b].lower() not in AND_WORDS or known is not None and known.exists(text[a:b])):
-            out.append((a, b))
-        at = m.end() if m else at
+def runs(text: str, kind: str, longest: int) -> list[str]:
+    """Every run of up to longest atoms as it would be looked up."""
+    spans = ATOMS[kind](text).spans
+    return list({pattern_of(text[spans[i][0] : spans[j][1]], kind): None for i in range(len(spans)) for j in range(i, min(i + longest, len(spans)))})
+
+
+def _name_shapes(text: str, atoms: Atoms, i: int) -> list[tuple[int, float]]:
+    a, b = atoms.spans[i]
+    if (a, b) in atoms.quoted:
+        return [(i + 1, 0.05)]
+    part = text[a:b]
+    words = _WORD.findall(part)
+    out = [(i + 1, 5.0 if _INITIALS.match(part) else 2.5 if len(words) == 1 else 1.0)]
+    if i + 1 < len(atoms.spans) and atoms.marks[i + 1] == "comma":
+        c, d = atoms.spans[i + 1]
+        alone = len(words) == 1 and len(part) > 2 or len(words) == 2 and words[0].lower() in _PARTICLES
+        if alone and _GIVEN.match(text[c:d]):
+            out.append((i + 2, 1.05))
     return out
 
 
-SPANS = {"name": name_spans, "address": address_spans, "language": language_spans}
+def _address_shapes(text: str, atoms: Atoms, i: int) -> list[tuple[int, float]]:
+    def starts(k: int) -> bool:
+        return text[atoms.spans[k][0] : atoms.spans[k][0] + 8].lower().startswith(ADDRESS_STARTS)
+
+    if not starts(i):
+        return [(i + 1, 3.0)]
+    j = i + 1
+    while j < len(atoms.spans) and not starts(j):
+        j += 1
+    return [(j, 0.5 + 0.5 * (j - i)), (i + 1, 1.0)]
+
+
+def _language_shapes(text: str, atoms: Atoms, i: int) -> list[tuple[int, float]]:
+    out = [(i + 1, 0.0 if text[slice(*atoms.spans[i])].lower() in AND_WORDS else 1.0)]
+    j = i + 1
+    while j < len(atoms.spans) and atoms.marks[j] == "slash":
+        j += 1
+    if j > i + 1:
+        # an undecided language
+        out.append((j, 0.35))
+    return out
+
+
+SHAPES = {"name": _name_shapes, "address": _address_shapes, "language": _language_shapes}
+
+
+def spans(text: str, kind: str, known: ahocorasick.Automaton | None) -> list[tuple[int, int]]:
+    """The places of the values in the text, in order: the cheapest cover of its atoms."""
+    atoms = ATOMS[kind](text)
+    n = len(atoms.spans)
+    hits = known_runs(text, kind, atoms, known)
+    best: list[tuple[float, int]] = [(0.0, 0)] + [(float("inf"), 0)] * n
+    for i in range(n):
+        for j, cost in [*SHAPES[kind](text, atoms, i), *((j, 0.15 + 0.05 * (j - i)) for j in hits.get(i, ()))]:
+            if (new := (best[i][0] + cost, i)) < best[j]:
+                best[j] = new
+    out, j = [], n
+    while j:
+        i = best[j][1]
+        a, b = atoms.spans[i][0], atoms.spans[j - 1][1]
+        # a word that parts names parts codes too, unless it is known as a code, as Estonian's "et" may be
+        if not (kind == "language" and j == i + 1 and j not in hits.get(i, ()) and text[a:b].lower() in AND_WORDS):
+            out.append((a, b))
+        j = i
+    return out[::-1]
 
 
 def split_values(text: str | None, kind: str, known: ahocorasick.Automaton | None) -> list[str]:
     """The values of the text as written, in order; none for null and blank texts."""
     if not text or not text.strip():
         return []
-    return [text[a:b] for a, b in SPANS[kind](text, known)]
+    return [text[a:b] for a, b in spans(text, kind, known)]

@@ -33,7 +33,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     ]
     parts = [
         split_packed(records, "text", "name", known_names(spark, d)),
-        split_packed(fields[0], "text", "address"),
+        split_packed(fields[0], "text", "address", known_values(candidates, "source_urls", "address")),
         split_packed(fields[1], "text", "language", known_values(candidates, "detected_languages", "language")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("text")
