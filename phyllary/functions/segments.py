@@ -9,8 +9,10 @@ by a slash); lone atoms cost more, and other runs are no values. The cheapest co
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 
@@ -35,6 +37,7 @@ _PARTICLES = frozenset("de von van da del di le la".split())
 _WORD = re.compile(r"[^\W\d_]+")
 _ADDRESS_MARKS = re.compile(rf"{BEFORE_ADDRESS}+|>+(?={BEFORE_ADDRESS})")
 _LANGUAGE_MARKS = re.compile(r"(?P<hard>[\s,;|&+]+|\s/\s)|(?P<slash>/)")
+_START = re.compile("|".join(map(re.escape, ADDRESS_STARTS)), re.I)
 _FIGURES = re.compile(r"\d+")
 _ROUND = " \t\r\n\"'“”«»[](){}<>,;|"
 
@@ -129,24 +132,18 @@ def known_runs(text: str, kind: str, atoms: Atoms, known: ahocorasick.Automaton
     """The runs of atoms that are known whole values: first atom -> atoms behind the last."""
     if known is None or not atoms.spans:
         return {}
-    begins = {a: i for i, (a, _) in enumerate(atoms.spans)}
-    ends = {b: j + 1 for j, (_, b) in enumerate(atoms.spans)}
-    searched, place = text, None
+    starts, ends = zip(*atoms.spans, strict=True)
     if kind == "address":
-        # places in the text of the characters that are searched, for each its first and the one behind it
-        place, pieces, at = [], [], 0
-        for m in _FIGURES.finditer(text):
-            pieces += [text[at : m.start()], "0"]
-            place += [*((p, p + 1) for p in range(at, m.start())), (m.start(), m.end())]
-            at = m.end()
-        pieces.append(text[at:])
-        place += [(p, p + 1) for p in range(at, len(text))]
-        searched = "".join(pieces)
+        # figures are searched as one 0 each: atoms lie nearer to the start by what is left out before them
+        figures = [m.span() for m in _FIGURES.finditer(text)]
+        behind, saved = [e for _, e in figures], [0, *accumulate(e - s - 1 for s, e in figures)]
+        starts, ends = ([p - saved[bisect_right(behind, p)] for p in places] for places in (starts, ends))
+        text = _FIGURES.sub("0", text)
+    begin, end = {a: i for i, a in enumerate(starts)}, {b: j for j, b in enumerate(ends, 1)}
     out: dict[int, list[int]] = {}
-    for last, n in known.iter(searched):
-        a, b = (last - n + 1, last + 1) if place is None else (place[last - n + 1][0], place[last][1])
-        i, j = begins.get(a), ends.get(b)
-        if i is not None and j is not None:
+    for last, n in known.iter(text):
+        j = end.get(last + 1)
+        if j is not None and (i := begin.get(last - n + 1)) is not None:
             out.setdefault(i, []).append(j)
     return out
 
@@ -173,15 +170,12 @@ def _name_shapes(text: str, atoms: Atoms, i: int) -> list[tuple[int, float]]:
 
 
 def _address_shapes(text: str, atoms: Atoms, i: int) -> list[tuple[int, float]]:
-    def starts(k: int) -> bool:
-        return text[atoms.spans[k][0] : atoms.spans[k][0] + 8].lower().startswith(ADDRESS_STARTS)
-
-    if not starts(i):
+    if not _START.match(text, atoms.spans[i][0]):
         return [(i + 1, 3.0)]
-    j = i + 1
-    while j < len(atoms.spans) and not starts(j):
+    j, n = i + 1, len(atoms.spans)
+    while j < n and not _START.match(text, atoms.spans[j][0]):
         j += 1
-    return [(j, 0.5 + 0.5 * (j - i)), (i + 1, 1.0)]
+    return [(j, 0.5 + 0.5 * (j - i))] if j == i + 1 else [(j, 0.5 + 0.5 * (j - i)), (i + 1, 1.0)]
 
 
 def _language_shapes(text: str, atoms: Atoms, i: int) -> list[tuple[int, float]]:
@@ -203,14 +197,19 @@ def spans(text: str, kind: str, known: ahocorasick.Automaton | None) -> list[tup
     atoms = ATOMS[kind](text)
     n = len(atoms.spans)
     hits = known_runs(text, kind, atoms, known)
-    best: list[tuple[float, int]] = [(0.0, 0)] + [(float("inf"), 0)] * n
+    shapes = SHAPES[kind]
+    costs, came = [0.0] + [float("inf")] * n, [0] * (n + 1)
     for i in range(n):
-        for j, cost in [*SHAPES[kind](text, atoms, i), *((j, 0.15 + 0.05 * (j - i)) for j in hits.get(i, ()))]:
-            if (new := (best[i][0] + cost, i)) < best[j]:
-                best[j] = new
+        here = costs[i]
+        for j, cost in shapes(text, atoms, i):
+            if here + cost < costs[j]:
+                costs[j], came[j] = here + cost, i
+        for j in hits.get(i, ()):
+            if here + 0.15 + 0.05 * (j - i) < costs[j]:
+                costs[j], came[j] = here + 0.15 + 0.05 * (j - i), i
     out, j = [], n
     while j:
-        i = best[j][1]
+        i = came[j]
         a, b = atoms.spans[i][0], atoms.spans[j - 1][1]
         # a word that parts names parts codes too, unless it is known as a code, as Estonian's "et" may be
         if not (kind == "language" and j == i + 1 and j not in hits.get(i, ()) and text[a:b].lower() in AND_WORDS):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phyllary.functions.segments import ADDRESS_STARTS, AND_WORDS, ATOMS, BEFORE_ADDRESS, automaton, runs, split_values
+from phyllary.session import durable
 
 #: Known whole values, and characters in them, up to which every worker holds the automaton of all; beyond it each batch gets its own.
 DICTIONARY_ROWS, DICTIONARY_CHARS = 200_000, 20_000_000
@@ -100,6 +101,7 @@ def split_packed(df: DataFrame, text: str, kind: str, known: DataFrame | None =
     several = df.where(F.col(text).rlike(MAYBE_SEVERAL[kind]))
     values = None
     if known is not None:
+        known = durable(known)
         size = known.limit(dictionary_rows + 1).agg(F.count("*"), F.sum(F.length("value"))).first()
         if size[0] <= dictionary_rows and (size[1] or 0) <= dictionary_chars:
             values = df.sparkSession.sparkContext.broadcast([r[0] for r in known.collect()])
