@@ -53,7 +53,7 @@ def p4_bundles(spark: SparkSession, d: str) -> DataFrame:
 def _names(spark: SparkSession, d: str) -> DataFrame:
     """Every spelling in recorded_by and identified_by, with how often it occurs."""
     records = table(spark, d, "specimen_records")
-    known = durable(known_names(spark, d))
+    known = known_names(spark, d)
     split = split_packed(records.select("recorded_by"), "recorded_by", "name", known, single=True).select(F.col("item_text").alias("name"))
     determiners = records.select(F.trim("identified_by").alias("name")).where("name <> ''")
     return split.unionByName(determiners).groupBy("name").agg(F.count("*").alias("n"))
