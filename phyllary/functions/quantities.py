@@ -16,6 +16,7 @@ UNIT_WORDS = {
     "yd": "yd yd. yds yds. yard yards 碼 ヤード",
 }
 FACTORS = {"m": Decimal(1), "km": Decimal(1000), "ft": Decimal("0.3048"), "yd": Decimal("0.9144")}
+_METRIC = ("m", "km")
 #: Difference of logarithms up to which two statements are the same quantity.
 SAME = 0.02
 
@@ -29,6 +30,8 @@ _SINGLE = rf"(?<![\d.,])(?P<n>{_NUM})\s*(?P<u>{_UNIT}){_TAILS}"
 _RANGE = rf"(?<![\d.,])(?P<a>{_NUM})\s*(?:(?P<ua>{_UNIT}){_TAILS})?\s*(?:-|–|—|~|\bto\b|\band\b|\bbis\b|\ba\b|\bà\b|至)\s*(?P<b>{_NUM})\s*(?P<ub>{_UNIT}){_TAILS}"
 _FIND = re.compile(rf"(?:{_RANGE})|(?:{_SINGLE})", re.I)
 _BARE_RANGE = re.compile(rf"^\s*(?:alt|altitude|elev|elevation|c|ca|circa|about|between)?\.?:?\s*(?P<a>{_NUM})\s*(?:-|–|—|\bto\b|\band\b)\s*(?P<b>{_NUM})\s*$", re.I)
+_BARE_BEFORE = re.compile(rf"(?:^|[\s:.])(?P<n>{_NUM})\s*[(\[/=]\s*$")
+_BARE_BEHIND = re.compile(rf"^\s*[(\[/=]\s*(?P<n>{_NUM})\s*[)\]]?\s*$")
 _BARE = re.compile(rf"^\s*(?:alt|altitude|elev|elevation|c|ca|circa|about|標高|海拔)?\.?:?\s*(?P<n>{_NUM})\s*$", re.I)
 #: A length followed by these is a way or a size, not an altitude.
 _WAY = re.compile(r"^\s*(?:(?:N|S|E|W|NE|NW|SE|SW|NNE|NNW|SSE|SSW|ENE|ESE|WNW|WSW)\b(?!\.)|(?:north|south|east|west)\w*\b|(?:of|from|off|along)\b|(?:tall|high|long|wide|thick|deep|apart|across)\b)", re.I)
@@ -53,14 +56,19 @@ def _unit(text: str | None) -> str | None:
 def mentions(text: str, default: tuple[str, ...]) -> list[tuple[Quantity, Quantity]]:
     """The altitudes that the text states, each as (lowest, highest); a quantity is its number and the units it may have.
 
-    default: the units that a number without unit may have; a lone number is an altitude only if there are any.
+    default: the units that a lone number without unit may have; it is an altitude only if there are any. A number without unit that is
+    set against one with a unit, in brackets or behind a slash or an equals sign, may have any unit.
     """
     found: list[tuple[Quantity, Quantity]] = []
+    first, last = len(text), 0
     for m in _FIND.finditer(text):
         rest = text[m.end() :]
         if _WAY.match(rest):
             continue
         sign = -1 if _BELOW.match(rest) else 1
+        if not found:
+            first = m.start()
+        last = m.end()
         if m["n"]:
             u = _unit(m["u"])
             q = (sign * number(m["n"], u), (u,))
@@ -69,7 +77,13 @@ def mentions(text: str, default: tuple[str, ...]) -> list[tuple[Quantity, Quanti
             ub = _unit(m["ub"])
             ua = _unit(m["ua"]) or ub
             found.append(((sign * number(m["a"], ua), (ua,)), (sign * number(m["b"].lstrip("-−"), ub), (ub,))))
-    if not found and default:
+    if found:
+        # a figure beside them without a unit of its own
+        for m, at in ((_BARE_BEFORE.search(text[:first]), 0), (_BARE_BEHIND.match(text[last:]), len(found))):
+            if m:
+                q = (number(m["n"], None), tuple(FACTORS))
+                found.insert(at, (q, q))
+    elif default:
         if m := _BARE.match(text):
             q = (number(m["n"], None), default)
             found.append((q, q))
@@ -98,38 +112,56 @@ def _half_up(x: Decimal) -> int:
     return int((x + Decimal("0.5")).to_integral_value(ROUND_FLOOR))
 
 
-def read_altitude(text: str | None, default: tuple[str, ...]) -> tuple[int, int, bool, float] | None:
+def agree(one: Quantity, two: Quantity, prior: str | None = None) -> tuple[bool, tuple[str, str], float, bool]:
+    """(whether they can be one quantity, their units, |log residual|, whether no other units fit) by the identity one = two."""
+    if one[0] == 0 or two[0] == 0 or (one[0] < 0) != (two[0] < 0):
+        return abs(one[0] - two[0]) == 0, (one[1][0], two[1][0]), float(abs(one[0] - two[0])), len(one[1]) == len(two[1]) == 1
+    units, residual, only = solve_units([float(one[0]), float(two[0])], [1, -1], [one[1], two[1]], FACTORS, {prior: 1.0} if prior else None)
+    # metres are rounded to whole ones: a difference of one metre is no difference
+    close = [c for c in product(one[1], two[1]) if abs(one[0] * FACTORS[c[0]] - two[0] * FACTORS[c[1]]) <= 1]
+    if residual > SAME and close:
+        units = next((c for c in close if c[0] == prior), close[0])
+    return residual <= SAME or bool(close), units, residual, only and len(close) < 2
+
+
+def _metres(q: Quantity, unit: str) -> int:
+    return _half_up(q[0] * FACTORS[unit])
+
+
+def read_altitude(text: str | None, default: tuple[str, ...], evidence: int | None = None) -> tuple[int, int, bool, float] | None:
     """(lowest, highest, unique, residual) in whole metres, None if the text states no altitude.
 
-    Two statements that the identity first = second holds for, under some of their units, are one altitude given twice: the one in
-    metres counts. unique is False where more than one choice of units fits. Others widen the span.
+    default: the units that a number without unit may have, likeliest first. evidence: the altitude in metres that something else gives
+    for the same thing; by the identity of the two the unit of a number without unit is chosen, by the least logarithmic residual, or
+    the likeliest where none fits. Statements next to each other that the identity first = second holds for, under some of their units,
+    are one altitude given twice: the one in metres counts. Other statements widen the span. unique is False where more than one choice
+    of units fits, or nothing but the default speaks for one. residual is the greatest of the identities that were used.
     """
     if not text or not (found := mentions(text, default)):
         return None
     unique, residual = True, 0.0
-    first = found[0]
-    if len(found) > 1:
-        second = found[1]
-        same = True
-        chosen = []
-        for one, two in zip(first, second, strict=True):
-            if one[0] == 0 or two[0] == 0:
-                units, r, only = (one[1][0], two[1][0]), abs(float(one[0] - two[0])), True
-            else:
-                units, r, only = solve_units([float(one[0]), float(two[0])], [1, -1], [one[1], two[1]], FACTORS)
-            # metres are rounded to whole ones: a difference of one metre is no difference
-            gap = abs(abs(one[0]) * FACTORS[units[0]] - abs(two[0]) * FACTORS[units[1]])
-            same &= r <= SAME or gap <= 1
-            unique &= only
-            residual = max(residual, r)
-            chosen.append((units, one, two))
-        if same:
-            metric = [(one if units[0] in ("m", "km") or units[1] not in ("m", "km") else two, units[0] if units[0] in ("m", "km") or units[1] not in ("m", "km") else units[1]) for units, one, two in chosen]
-            values = [_half_up(q[0] * FACTORS[u]) for q, u in metric]
-            return min(values), max(values), unique, residual
+    kept: list[list] = []
+    for one, two in found:
+        if kept:
+            before = kept[-1]
+            tests = [agree(q[:2], own) for q, own in zip(before, (one, two), strict=True)]
+            if all(t[0] for t in tests):
+                residual = max(residual, *(t[2] for t in tests))
+                unique &= all(t[3] for t in tests)
+                # the one in metres counts, the first of two alike
+                kept[-1] = [(q[0], (u[0],)) if u[0] in _METRIC or u[1] not in _METRIC else (own[0], (u[1],)) for q, own, (_, u, _, _) in zip(before, (one, two), tests, strict=True)]
+                continue
+        kept.append([one, two])
+    # a figure of any unit that agrees with nothing tells nothing
+    kept = [k for k in kept if len(k[0][1]) < len(FACTORS)] or kept
     values = []
-    for one, two in found[:1]:
-        for q in (one, two):
-            unique &= len(q[1]) == 1 or q[0] == 0
-            values.append(_half_up(q[0] * FACTORS[q[1][0]]))
+    for pair in kept:
+        units = pair[0][1]
+        chosen = units[0]
+        if len(units) > 1:
+            fits, both, r, only = agree(pair[0], (Decimal(evidence), ("m",)), units[0]) if evidence is not None else (False, None, 0.0, False)
+            unique &= fits and only
+            if fits:
+                chosen, residual = both[0], max(residual, r)
+        values += [_metres(q, chosen if len(q[1]) > 1 else q[1][0]) for q in pair]
     return min(values), max(values), unique, residual

@@ -9,36 +9,50 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phyllary.functions.quantities import SAME, read_altitude
+from phyllary.functions.quantities import FACTORS, SAME, read_altitude
 from phyllary.functions.vectorised import vectorised
 
 
 @vectorised("struct<low:long,high:long,only:boolean,residual:double>")
-def _altitudes(text: pd.Series, unit: pd.Series) -> pd.DataFrame:
+def _altitudes(text: pd.Series, unit: pd.Series, units: pd.Series, evidence: pd.Series) -> pd.DataFrame:
     memo: dict = {}
     rows = []
-    for key in zip(text, unit, strict=True):
+    for t, u, us, e in zip(text, unit, units, evidence, strict=True):
+        key = (t, u, us, None if pd.isna(e) else int(e))
         if key not in memo:
-            memo[key] = read_altitude(key[0], (key[1],) if key[1] in ("m", "km", "ft", "yd") else ()) or (None, None, None, None)
+            default = (u, *(x for x in us.split() if x != u)) if u in FACTORS else ()
+            memo[key] = read_altitude(t, default, key[3]) or (None, None, None, None)
         rows.append(memo[key])
     out = pd.DataFrame(rows, columns=["low", "high", "only", "residual"])
     return out.astype({"low": "Int64", "high": "Int64", "only": "boolean", "residual": "float64"})
 
 
-def normalise_altitudes(df: DataFrame, text: str, unit: str | None = None) -> DataFrame:
+def normalise_altitudes(df: DataFrame, text: str, unit: str | None = None, units: Sequence[str] = (), evidence: str | None = None) -> DataFrame:
     """df with low_m, high_m (whole metres, rounded half up), unit_unique and unit_residual; null where the text states no altitude.
 
-    unit names the column with the unit of a number without one (m, km, ft, yd); where it is null such numbers are no altitudes.
+    unit names the column with the likeliest unit of a number without one (m, km, ft, yd); where it is null such numbers are no
+    altitudes. units are all that such a number may have. evidence names a column with the altitude in metres that something else gives
+    for the same thing: a number without unit has the unit under which the two agree best, the likeliest where none agrees.
+    unit_unique is false where more than one choice of units fits or only the likeliest unit speaks for itself.
+
     Null, blank and very long texts are fine; repeated rows stay rows; the four columns replace any of the same names; an empty df
     gives an empty result. No shuffle: one vectorised pass.
     """
     own = F.lower(F.col(unit)) if unit else F.lit(None).cast("string")
-    read = df.withColumn("__a", F.when(F.col(text).rlike(r"\d"), _altitudes(F.col(text), own)))
+    other = F.col(evidence).cast("long") if evidence else F.lit(None).cast("long")
+    read = df.withColumn("__a", F.when(F.col(text).rlike(r"\d"), _altitudes(F.col(text), own, F.lit(" ".join(units)), other)))
     return (
         read.withColumn("low_m", F.col("__a.low")).withColumn("high_m", F.col("__a.high")).withColumn("unit_unique", F.col("__a.only")).withColumn("unit_residual", F.col("__a.residual")).drop("__a")
     )
 
 
+def agreed_altitude(df: DataFrame, key: str, low: str) -> DataFrame:
+    """key, evidence_m: the altitude that all rows of a key give, to about a fiftieth or a metre; keys whose rows differ, and null and
+    blank keys, give none. One aggregate with partial sums, whatever the number of rows of a key."""
+    same = df.where(F.col(low).isNotNull() & (F.length(F.trim(F.col(key).cast("string"))) > 0)).groupBy(key).agg(F.min(low).alias("__a"), F.max(low).alias("__b"))
+    return same.where((F.col("__b") - F.col("__a") <= 1) | ((F.col("__a") > 0) & (F.log(F.col("__b") / F.col("__a")) <= SAME))).select(key, F.col("__a").alias("evidence_m"))
+
+
 def identity_units(df: DataFrame, terms: Sequence[tuple[str, int, Sequence[str]]], factors: Mapping[str, float], tolerance: float = SAME) -> DataFrame:
     """Choose the units of numeric columns by the identity product((value * factor) ** exponent) = 1, such as mass / (density * volume) = 1.
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from phyllary.operators.packed import known_values, split_packed
 from phyllary.operators.proximity import pairs_within
 from phyllary.operators.timestamps import normalise_times
-from phyllary.operators.units import normalise_altitudes
-from phyllary.session import table
+from phyllary.operators.units import agreed_altitude, normalise_altitudes
+from phyllary.session import broadcast_if_small, table
 
 
 def _sources(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -60,15 +60,35 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs_within(records, candidates, "seq", "cand_seq", ("decimal_latitude", "decimal_longitude"), ("candidate_latitude", "candidate_longitude"), 500.0)
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    records = table(spark, d, "specimen_records").select("source", F.lit("specimen_records").alias("table_name"), F.col("seq").alias("row_id"), F.col("elevation").alias("text"))
+def _altitudes(spark: SparkSession, d: str) -> DataFrame:
+    """The altitudes of records and labels. A record's number without unit may have any unit that some source writes without saying so;
+    which one it has follows from the altitude on the label of its catalogue number, else from its source."""
+    labels = table(spark, d, "label_reads").select(F.lit("label_reads").alias("table_name"), F.col("label_seq").alias("row_id"), "catalog_number", F.col("elevation_text").alias("text"))
+    read = normalise_altitudes(labels, "text")
+    # 24 sources, so a handful of units
+    units = sorted(r[0] for r in _sources(spark, d, "elevation_unit").select(F.lower("elevation_unit")).where("elevation_unit is not null").distinct().collect())
+    records = table(spark, d, "specimen_records").select("source", F.lit("specimen_records").alias("table_name"), F.col("seq").alias("row_id"), "catalog_number", F.col("elevation").alias("text"))
     records = records.join(_sources(spark, d, "elevation_unit"), "source", "left").drop("source")
-    labels = table(spark, d, "label_reads").select(F.lit("label_reads").alias("table_name"), F.col("label_seq").alias("row_id"), F.col("elevation_text").alias("text"))
-    out = normalise_altitudes(records.unionByName(labels, allowMissingColumns=True), "text", "elevation_unit")
+    # only figures without a unit need the label
+    bare = F.coalesce(F.col("text").rlike(r"^[^\p{L}'′’]*\d[^\p{L}'′’]*$"), F.lit(False))
+    evidence = broadcast_if_small(agreed_altitude(read, "catalog_number", "low_m"))
+    lone = normalise_altitudes(records.where(bare).join(evidence, "catalog_number", "left"), "text", "elevation_unit", units, "evidence_m").drop("evidence_m")
+    rest = normalise_altitudes(records.where(~bare), "text", "elevation_unit", units)
+    return rest.unionByName(lone).unionByName(read, allowMissingColumns=True)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    out = _altitudes(spark, d)
     return out.where(F.col("low_m").isNotNull() & ~F.col("text").rlike(r"^-?\d+ m$")).select("table_name", "row_id", "low_m", "high_m")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_status_counts": p2_status_counts, "p3_found": p3_found, "p5_found": p5_found}
+def p5_choices(spark: SparkSession, d: str) -> DataFrame:
+    """How the units of the altitudes were found, for each table: read, of these not unique, and the greatest residual of an identity."""
+    out = _altitudes(spark, d).where("low_m is not null")
+    return out.groupBy("table_name").agg(F.count("*").alias("altitudes"), F.count_if(~F.col("unit_unique")).alias("not_unique"), F.count_if(F.col("unit_residual") > 0).alias("by_identity"), F.round(F.max("unit_residual"), 6).alias("greatest_residual"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_status_counts": p2_status_counts, "p3_found": p3_found, "p5_found": p5_found, "p5_choices": p5_choices}
 
 
 def _degrees(c: str) -> str:
