@@ -9,7 +9,7 @@ from phyllary.operators.packed import known_values, split_packed
 from phyllary.operators.proximity import pairs_within
 from phyllary.operators.timestamps import normalise_times
 from phyllary.operators.units import agreed_altitude, normalise_altitudes
-from phyllary.session import broadcast_if_small, table
+from phyllary.session import durable, table
 
 
 def _sources(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -64,14 +64,16 @@ def _altitudes(spark: SparkSession, d: str) -> DataFrame:
     """The altitudes of records and labels. A record's number without unit may have any unit that some source writes without saying so;
     which one it has follows from the altitude on the label of its catalogue number, else from its source."""
     labels = table(spark, d, "label_reads").select(F.lit("label_reads").alias("table_name"), F.col("label_seq").alias("row_id"), "catalog_number", F.col("elevation_text").alias("text"))
-    read = normalise_altitudes(labels, "text")
+    # read once, used twice
+    read = durable(normalise_altitudes(labels, "text"))
     # 24 sources, so a handful of units
     units = sorted(r[0] for r in _sources(spark, d, "elevation_unit").select(F.lower("elevation_unit")).where("elevation_unit is not null").distinct().collect())
     records = table(spark, d, "specimen_records").select("source", F.lit("specimen_records").alias("table_name"), F.col("seq").alias("row_id"), "catalog_number", F.col("elevation").alias("text"))
     records = records.join(_sources(spark, d, "elevation_unit"), "source", "left").drop("source")
     # only figures without a unit need the label
     bare = F.coalesce(F.col("text").rlike(r"^[^\p{L}'′’]*\d[^\p{L}'′’]*$"), F.lit(False))
-    evidence = broadcast_if_small(agreed_altitude(read, "catalog_number", "low_m"))
+    # as many as there are labels: never broadcast; a catalogue number that many records share is split by adaptive execution
+    evidence = agreed_altitude(read, "catalog_number", "low_m").hint("merge")
     lone = normalise_altitudes(records.where(bare).join(evidence, "catalog_number", "left"), "text", "elevation_unit", units, "evidence_m").drop("evidence_m")
     rest = normalise_altitudes(records.where(~bare), "text", "elevation_unit", units)
     return rest.unionByName(lone).unionByName(read, allowMissingColumns=True)
