@@ -105,7 +105,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return split_sentences(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+    return split_sentences(spread(table(spark, d, "documents").select("doc_id", "text", "lang")), "doc_id", "text", lang="lang")
 
 
 QUERIES = {"p6_found": p6_found, "p6_clusters": p6_clusters, "p4_found": p4_found, "p4_bundles": p4_bundles, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found}

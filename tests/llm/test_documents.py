@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from phyllary.llm.mixing import fair_schedule, mix_report, mix_sources
 from phyllary.llm.packing import difference, pack, pack_items, packing_report
+from phyllary.llm import segmentation
 from phyllary.llm.segmentation import sentences
 from phyllary.llm.sentences import split_sentences
 from phyllary.llm.tokens import SLICE, TOKENIZER, VOCABULARIES, count_tokens, encoder, token_count
@@ -45,6 +46,28 @@ def test_blank_lines_wraps_and_spaces():
     assert len(sentences(thai)) == 3
 
 
+@pytest.mark.parametrize(("text", "lang", "parts"), [
+    ("The bottle has a cap. It was red.", "en", 2), ("She loves modern art. He prefers music.", "EN", 2), ("He opened the tab. Nothing came.", "eng", 2), ("We live in the U.S. It is large.", "en-GB", 2),
+    ("Vimos el mar. Fue bonito.", "spa", 2), ("Nous sommes au col. Il neige.", "fra", 2), ("Nous sommes au col. Il neige.", "en", 2), ("We met Col. Smith in Mar. 1920.", "en", 1), ("We met Col. Smith in Mar. 1920.", None, 1), ("Ella vio el cap. 3 de la obra.", "es-MX", 1),
+    ("The sheet is now at LEG. It is torn.", "en", 2), ("It went to DET. Stop!", "zh-Hans", 2), ("SEE DR. SMITH AT MT. ROSS.", "en", 1), ("Der Weg ist weit, vgl. Abb. 4.", "en", 1), ("He took vitamin C. The rest is lost.", "en", 2),
+    ("It grew (see the note. " + "And more of it, " * 60 + "as he said. All of it) on rocks. Next.", "en", 2), ("It grew (see the note. Next one. Last.", "en", 3), ("“" + "很长的话，" * 80 + "找到了！”他高兴地说。太好了！", "zh", 2), ("x" * 500 + " Dr. Lee came. Next.", None, 2),
+])
+def test_languages_brackets_and_codes(text, lang, parts):
+    assert len(sentences(text, lang)) == parts
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("Dr St Mt A M M. No fig Abb cap art mar Leg LEG etc m p.m. 12 3.5 The Er Il und d. „ “ ( ) « » г м Вид вид υ Βλ 说 “找到了！” है । word Word words. Words! \n".split(" ") + ["."]), max_size=24), st.sampled_from(["", " "]), st.sampled_from(["en", "de", "fr", None, "ru"]))
+def test_plain_cases_are_decided_as_by_the_tables(words, glue, lang):
+    text = glue.join(words)
+    plain = sentences(text, lang)
+    quick, segmentation._at_once = segmentation._at_once, lambda *_: None
+    try:
+        assert sentences(text, lang) == plain
+    finally:
+        segmentation._at_once = quick
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aB. !?\n「」“”()。ก 1;…«»é", max_size=80))
 def test_sentences_cover_all_but_blanks(text):
