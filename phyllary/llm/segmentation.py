@@ -67,13 +67,16 @@ PARAGRAPH = re.compile(r"(?:\r\n?|\n| )[^\S\r\n]*(?:(?:\r\n?|\n| )[^\S\r\n]*
 @dataclass(frozen=True)
 class Rule:
     """A verdict where both expressions fit: before ends at the position and reaches as far back as it likes in the sentence, or with
-    whole to the sentence's start; after begins at the position (blanks included)."""
+    whole to the sentence's start; after begins at the position (blanks included). last: the characters that can stand just before the
+    position where before fits, none for any; blank: whether a blank must follow. They only say which positions the rule is tried at."""
 
     name: str
     breaks: bool
     before: regex.Pattern | None
     after: regex.Pattern | None
     whole: bool = False
+    last: str = ""
+    blank: bool = False
 
     def fits(self, text: str, start: int, at: int, end: int) -> bool:
         if self.after is not None and self.after.match(text, at, end) is None:
@@ -86,9 +89,10 @@ class Rule:
         return (self.before.fullmatch if self.whole else self.before.match)(text, start, at) is not None
 
 
-def _rule(name: str, breaks: bool, before: str = "", after: str = "", whole: bool = False) -> Rule:
+def _rule(name: str, breaks: bool, before: str = "", after: str = "", whole: bool = False, last: str = "") -> Rule:
     # what stands before is matched from the position backwards
-    return Rule(name, breaks, regex.compile(before, 0 if whole else regex.REVERSE) if before else None, regex.compile(after) if after else None, whole)
+    first = regex.compile(before, 0 if whole else regex.REVERSE) if before else None
+    return Rule(name, breaks, first, regex.compile(after) if after else None, whole, last or ("." if before.endswith(r"\.") else ""), after.startswith(r"\s+"))
 
 
 def _words(text: str) -> str:
@@ -116,12 +120,12 @@ _START = rf"\s+(?:{_OPEN}\s?)*[\p{{Lu}}\p{{Lt}}\p{{N}}\p{{Lo}}]"
 
 COMMON = [
     # what never parts
-    _rule("inside a number or an address", False, r"[.:]", r"[\p{L}\p{N}/_@%&=#~+-]*[/@]"),
+    _rule("inside a number or an address", False, r"[.:]", last=".:", after= r"[\p{L}\p{N}/_@%&=#~+-]*[/@]"),
     _rule("mark follows", False, "", r"\s*[,;:،؛、，；：·]"),
     _rule("closing mark follows", False, "", r"[\"”’»)\]}」』）】]"),
     _rule("terminator follows", False, "", rf"\s?[{regex.escape('!?…。！？')}]"),
     _rule("small letter follows", False, "", rf"\s*(?:[—–-]\s*)?(?:[\"“„«‘'(\[]\s?)*\p{{Ll}}"),
-    _rule("dash and small letter follow", False, _CLOSE, r"\s*[—–-]\s*\p{Ll}"),
+    _rule("dash and small letter follow", False, _CLOSE, r"\s*[—–-]\s*\p{Ll}", last="\"”“’'»)]}」』）】"),
     _rule("digits on both sides", False, r"\p{N}\.", r"\p{N}"),
 ]
 _LATIN_FIRST = [
@@ -165,11 +169,11 @@ GREEK = [
     _rule("for example", False, r"(?<!\p{L})π\.\s?χ\."),
 ]
 CJK = [
-    _rule("ellipsis goes on", False, r"…+", rf"[{_CJK}\p{{L}}\p{{N}}]"),
-    _rule("quotation goes on", False, r"[。！？…!?][」』”’》）)\"]+", r"\s*(?:と|って|という|とい|とか|など|は|が|を|に|の|も|で|へ|や|라고|이라고|하고|고)"),
-    _rule("who said it follows a quotation", False, r"(?s)\s*[“「『\"](?:(?![“”「」『』\"]).)*[。！？…!?]+[”」』\"]", rf"(?=[{_CJK}])[^。！？!?“”「」『』\n]{{0,24}}(?:说|道|喊|叫|问|答|写|曰|讲|說|問|寫|喊道)[^。！？!?“”「」『』]{{0,24}}[。！？!?]", whole=True),
+    _rule("ellipsis goes on", False, r"…+", rf"[{_CJK}\p{{L}}\p{{N}}]", last="…"),
+    _rule("quotation goes on", False, r"[。！？…!?][」』”’》）)\"]+", r"\s*(?:と|って|という|とい|とか|など|は|が|を|に|の|も|で|へ|や|라고|이라고|하고|고)", last="」』”’》）)\""),
+    _rule("who said it follows a quotation", False, r"(?s)\s*[“「『\"](?:(?![“”「」『』\"]).)*[。！？…!?]+[”」』\"]", rf"(?=[{_CJK}])[^。！？!?“”「」『』\n]{{0,24}}(?:说|道|喊|叫|问|答|写|曰|讲|說|問|寫|喊道)[^。！？!?“”「」『』]{{0,24}}[。！？!?]", whole=True, last="”』」\""),
     _rule("full stop of the script", True, r"[。！？｡．!?][」』”’》）)\"]*", rf"\s*(?:[“「『（(《\"]\s?)*[{_CJK}\p{{L}}\p{{N}}]"),
-    _rule("ellipsis and blank", True, r"…+", r"\s"),
+    _rule("ellipsis and blank", True, r"…+", r"\s", last="…"),
 ]
 THAI = [
     _rule("repetition mark", False, "", r"\s*[ๆฯ]"),
@@ -179,7 +183,7 @@ THAI = [
 OTHERS = [
     _rule("doctor, number and like words", False, r"(?<![\p{L}\p{M}])(?:د|أ|م|ص|ج|ط|डॉ|सं|प्रो|श्री|पृ|ले|ዶ|ሴ|ዓ|ኪ)\."),
     _rule("letters with dots", False, r"ሴ\.\s?ሜ\."),
-    _rule("quotation goes on", False, r"[!?.][”\"’]", r"\s*(?:라고|이라고|하고|고|며)"),
+    _rule("quotation goes on", False, r"[!?.][”\"’]", r"\s*(?:라고|이라고|하고|고|며)", last="”\"’"),
     _rule("end of the script", True, r"[।॥۔؟።፧፨!?…][\"”’»)\]]*"),
     _rule("dot of the script", True, r"[\p{L}\p{M}\p{N})\]\"”]\.[\"”’»)\]]*", r"\s+\S"),
 ]
@@ -201,6 +205,12 @@ CASCADE = {
 }
 
 
+@lru_cache(4096)
+def _tried(kind: str, language: str, last: str, blank: bool) -> tuple[Rule, ...]:
+    """The rules of a cascade that can fit behind a character, before a blank or not, in order."""
+    return tuple(r for r in CASCADE[kind, language] if (not r.last or last in r.last) and (blank or not r.blank))
+
+
 @lru_cache(65_536)
 def script(c: str) -> str:
     """The script of a character, "" for marks, figures and blanks."""
@@ -216,16 +226,16 @@ def language_code(lang: str | None) -> str:
 
 
 _FREQUENT = {w: tuple(k for k in FREQUENT if w in FREQUENT[k].split()) for words in FREQUENT.values() for w in words.split()}
-_WORD = re.compile(r"[^\W\d_]+")
 
 
 def paragraph_language(text: str, declared: str) -> str:
     """The language with Latin letters of a paragraph: the declared one, unless at least two more of its frequent words are another
     language's or all that it has; "" if nothing tells."""
     counts = dict.fromkeys(FREQUENT, 0)
-    for w in _WORD.findall(text):
-        for k in _FREQUENT.get(w.lower(), ()):
-            counts[k] += 1
+    for w in text.lower().split():
+        if ks := _FREQUENT.get(w):
+            for k in ks:
+                counts[k] += 1
     best = max(counts, key=lambda k: (counts[k], k == declared))
     if declared in counts:
         return best if counts[best] >= counts[declared] + 2 or counts[best] > counts[declared] == 0 else declared
@@ -247,11 +257,13 @@ _STARTERS = frozenset(STARTERS.split())
 def _at_once(paragraph: _Paragraph, start: int, at: int) -> bool | None:
     """The verdict of the tables where it is plain from a few characters; None where they must be asked. They would give the same: before
     a small letter (of scripts with capitals) and inside a number nothing breaks, nor behind an abbreviation or an initial; a common
-    word's point or a strong mark before a blank and a capital does."""
+    word's point or a strong mark before a blank and a capital does, and a full stop of a script before a letter of it."""
     text, end = paragraph.text, paragraph.end
     last = text[at - 1]
     if last not in ".!?":
-        return None
+        if last in "。！？" and at < end and text[at].isalpha() and script(text[at]) == "cjk":
+            return True
+        return True if last in "।።؟۔" and at + 1 < end and text[at] == " " and script(text[at + 1]) == "oth" and script(_last_letter(text, start, at)) == "oth" else None
     k = at
     while k < end and text[k].isspace():
         k += 1
@@ -340,7 +352,10 @@ class _Paragraph:
         if kind == "lat" and next((s for c in text[at:end] if (s := script(c))), "") == "cjk":
             kind = "cjk"
         language = self.language if kind == "lat" else ""
-        return next((rule.breaks for rule in CASCADE[kind, language] if rule.fits(text, start, at, end)), False)
+        for rule in _tried(kind, language, text[at - 1], text[at : at + 1].isspace()):
+            if rule.fits(text, start, at, end):
+                return rule.breaks
+        return False
 
 
 _ROUND = re.compile("[()（）]")
