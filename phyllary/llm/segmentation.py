@@ -28,14 +28,14 @@ FREQUENT = {
     "la": "et in ad est non cum ex prope sed ac ubi sunt vel ab leg inter alt sub",
 }
 #: Abbreviations of any language with Latin letters that no sentence ends with. Lower case, without final dot; also with a capital.
-BOTANY = "leg coll det cf ca c var subsp ssp subg nothosp f fo sp al ined nom comb holo iso lecto para nr s"
+BOTANY = "herb leg coll det cf ca c var subsp ssp subg nothosp f fo sp al ined nom comb holo iso lecto para nr s"
 #: The same for each language.
 NEVER_LAST = {
     "en": "dr mr mrs ms messrs prof rev hon gen col capt lt sgt gov pres st mt mts ste mme mlle viz vs approx e.g i.e eg ie sect ser ed eds rd ave univ dept chap vols pls",
     "de": "dr prof hr fr nr abb taf s bd bde vgl z d u geb gest bzw sog evtl inkl exkl fasz hrsg verf st südl nördl östl westl nordl sudl ostl nordöstl nordwestl südöstl südwestl str ing dipl mag zit insb etw mt",
     "fr": "dr pr prof mme mlle mgr st ste figs p pp t vol pl env éd av bd réf dét mt",
     "es": "sr sra srta sres dr dra d da lic ing prof profa figs pág págs p pp núm nº vol ej aprox prov ed tel av n ee gral pbro fr sta sto mt",
-    "la": "herb circ pag dr p vol mt",
+    "la": "circ pag dr p vol mt",
     "ru": "т е д г-н г-жа проф акад доц см ср рис табл стр гл им ул обл р оз о пос дер ст н св напр ок собр опр",
     "el": "κ κα κος δρ καθ αρ εικ σελ βλ πρβλ π χ δηλ αγ τομ κεφ αριθ πιν",
 }
@@ -151,9 +151,12 @@ _LATIN_LAST = [
     _rule("strong end, blank lost", True, r"[!?…][\"”’»)\]“]*", r"[¿¡«“„]*\p{Lu}"),
     _rule("dotted letters go on", False, r"\p{L}\.", r"\S"),
 ]
-#: One table a language; without a language that of all.
-LATIN = {k: [*_LATIN_FIRST, *_never(f"{BOTANY} {NEVER_LAST[k]}"), *_LATIN_LAST] for k in FREQUENT}
-LATIN[""] = [*_LATIN_FIRST, *_never(" ".join([BOTANY, *(NEVER_LAST[k] for k in FREQUENT)])), *_LATIN_LAST]
+#: The abbreviations of each language, of two that a paragraph has words of, and without a language those of all.
+ABBREVIATIONS = {k: f"{BOTANY} {NEVER_LAST[k]}" for k in FREQUENT}
+ABBREVIATIONS |= {f"{a}+{b}": f"{ABBREVIATIONS[a]} {ABBREVIATIONS[b]}" for a in sorted(FREQUENT) for b in sorted(FREQUENT) if a < b}
+ABBREVIATIONS[""] = " ".join([BOTANY, *(NEVER_LAST[k] for k in FREQUENT)])
+#: One table each.
+LATIN = {k: [*_LATIN_FIRST, *_never(words), *_LATIN_LAST] for k, words in ABBREVIATIONS.items()}
 CYRILLIC = [
     _rule("year, may end", True, r"\p{N}\s*гг?\.", _START),
     _rule("and so on, may end", True, r"(?:и\s+)?т\.\s?[дп]\.", _START),
@@ -225,21 +228,26 @@ def language_code(lang: str | None) -> str:
     return code if code in CODES.values() else ""
 
 
+_POINTS = str.maketrans(dict.fromkeys(".,;:!?()[]«»“”„\"'’…", " "))
 _FREQUENT = {w: tuple(k for k in FREQUENT if w in FREQUENT[k].split()) for words in FREQUENT.values() for w in words.split()}
 
 
 def paragraph_language(text: str, declared: str) -> str:
-    """The language with Latin letters of a paragraph: the declared one, unless at least two more of its frequent words are another
-    language's or all that it has; "" if nothing tells."""
+    """The language with Latin letters of a paragraph, by its frequent words; such as only one language has count twice. The declared one,
+    unless another is ahead by two: then that one, or both if the paragraph has words of both; "" if the declared one has none and no
+    other two more than the rest."""
     counts = dict.fromkeys(FREQUENT, 0)
-    for w in text.lower().split():
+    for w in text.lower().translate(_POINTS).split():
         if ks := _FREQUENT.get(w):
             for k in ks:
-                counts[k] += 1
-    best = max(counts, key=lambda k: (counts[k], k == declared))
-    if declared in counts:
-        return best if counts[best] >= counts[declared] + 2 or counts[best] > counts[declared] == 0 else declared
-    return best if counts[best] else ""
+                counts[k] += 3 - min(len(ks), 2)
+    ranked = sorted(counts.values())
+    best = max(counts, key=counts.get)
+    if declared in counts and (counts[declared] or not ranked[-1]):
+        if ranked[-1] < counts[declared] + 2:
+            return declared
+        return "+".join(sorted((best, declared))) if counts[declared] else best
+    return best if ranked[-1] >= ranked[-2] + 2 else ""
 
 
 #: Words that some rule speaks of; a plain end has none of them.
@@ -248,8 +256,7 @@ SPECIAL = frozenset(w for words in (BOTANY, *NEVER_LAST.values(), BEFORE_FIGURES
 
 #: Words that a rule about an end speaks of before the rules about abbreviations do.
 _ENDS = frozenset("m a p al etc usw chr s u w".split())
-_OFTEN_NEVER = {k: frozenset(f"{BOTANY} {NEVER_LAST[k]}".split()) - _ENDS for k in FREQUENT}
-_OFTEN_NEVER[""] = frozenset().union(*_OFTEN_NEVER.values())
+_OFTEN_NEVER = {k: frozenset(words.split()) - _ENDS for k, words in ABBREVIATIONS.items()}
 _OFTEN_FIGURES = frozenset(BEFORE_FIGURES.split()) - _ENDS
 _STARTERS = frozenset(STARTERS.split())
 
