@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phyllary.session import arrow_function
+
 #: Entries up to which the trie is built on the driver and sent to every worker; the lists served are vocabularies, not data.
 LIST_ROWS = 500_000
 #: Words written short in names of places and bodies.
@@ -250,7 +252,7 @@ def resolver(spark, entries: list[tuple]):
         frame["listed"] = [reference.listed.get(e) for e, _, _ in out]
         return frame.astype({"entry_id": "Int64", "distance": "Int32"})
 
-    return F.pandas_udf(resolve, "struct<entry_id:long,distance:int,status:string,listed:string>")
+    return arrow_function(resolve, "struct<entry_id:long,distance:int,status:string,listed:string>")
 
 
 def map_to_list(df: DataFrame, fields: dict[str, str], entries: DataFrame, owner: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from phyllary.functions.vectorised import vectorised
 from phyllary.llm.names import ALIKE, BAND_ROWS, RECALL, TARGET, bands_for, formal, name_similarity, one_edit, parse_name
-from phyllary.session import broadcast_if_small, durable
+from phyllary.session import arrow_function, broadcast_if_small, durable
 
 
 @vectorised("struct<kind:string,main:string,others:array<string>,form:string,first:string>")
@@ -46,7 +46,7 @@ def _bands(n: int, rows: int):
             out.append(mixed.astype(np.int64))
         return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(bands, "array<long>")
+    return arrow_function(bands, "array<long>")
 
 
 @vectorised("double")

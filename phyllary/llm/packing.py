@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phyllary.session import in_batches
+
 #: Items in one block at least, windows that it is to fill, and items at most; blocks are cut by hash, so that no task's work grows
 #: with the data.
 BLOCK_ITEMS, BLOCK_WINDOWS, MOST_ITEMS = 4096, 64, 65_536
@@ -154,7 +156,7 @@ def pack_items(items: DataFrame, key: str, size: str, runs: DataFrame, block_ite
                 held.append(part)
         yield from flush()
 
-    return ordered.mapInPandas(fill, schema)
+    return in_batches(ordered, fill, schema)
 
 
 def packing_report(packed: DataFrame, runs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phyllary.llm.segmentation import sentences
+from phyllary.session import in_batches
 
 
 def split_sentences(df: DataFrame, key: str, text: str, with_text: bool = False, lang: str | None = None) -> DataFrame:
@@ -30,4 +31,4 @@ def split_sentences(df: DataFrame, key: str, text: str, with_text: bool = False,
             if out:
                 yield pd.DataFrame(out, columns=[key, "sent_no", "start_char", "end_char", "sent_text"][: 4 + with_text])
 
-    return rows.mapInPandas(split, schema)
+    return in_batches(rows, split, schema)

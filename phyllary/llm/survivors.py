@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from phyllary.functions.sphere import degrees
 from phyllary.llm.canonical import Reference, load_reference
-from phyllary.session import durable
+from phyllary.session import arrow_function, durable
 
 #: Distinct combinations of dependent values in a group up to which the group is searched in one task; larger ones are solved by joins.
 GROUP_COMBINATIONS = 4096
@@ -70,7 +70,7 @@ def catalogue_key(records: DataFrame, entries: DataFrame) -> DataFrame:
             out.append((holder, parts[1]) if holder else (None, None))
         return pd.DataFrame(out, columns=["holder", "number"], dtype=object)
 
-    made = F.pandas_udf(key, "struct<holder:string,number:string>")(F.col("catalog_number"), F.col("institution_code"))
+    made = arrow_function(key, "struct<holder:string,number:string>")(F.col("catalog_number"), F.col("institution_code"))
     return records.withColumn("__k", made).withColumn("holder", F.col("__k.holder")).withColumn("number", F.col("__k.number")).drop("__k")
 
 
@@ -137,7 +137,7 @@ def _solver(bundles: int, links: list[tuple[int, int]]):
             out.append([None if not c else -c[2] for c in chosen or [None] * bundles])
         return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(solve, "array<long>")
+    return arrow_function(solve, "array<long>")
 
 
 def choose_survivors(

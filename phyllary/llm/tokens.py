@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from phyllary.session import arrow_function
+
 #: Folder of the public vocabulary files; every worker must have it.
 VOCABULARIES = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -56,4 +58,4 @@ def token_count(text: Column, folder: str = VOCABULARIES, tokenizer: str = TOKEN
     def count(texts: pd.Series) -> pd.Series:
         return pd.Series([count_tokens(t, path) for t in texts], dtype="int64")
 
-    return F.pandas_udf(count, "long")(text)
+    return arrow_function(count, "long")(text)
