@@ -36,12 +36,15 @@ ZONES = {
     "NST": -210, "AST": -240, "ADT": -180, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,
 }
 
+#: Abbreviations that other zones share: Central and China, India and Ireland and Israel, Britain and Bangladesh, Atlantic and Arabia.
+SHARED_ZONES = ("CST", "IST", "BST", "AST")
+
 MONTHS = {w: i + 1 for names in MONTH_NAMES.values() for i, w in enumerate(names.split())} | {"sept": 9, "setiembre": 9, "mär": 3, "mai": 5, "okt": 10, "dez": 12}
 THAI = {w: i + 1 for words in (THAI_MONTHS, THAI_NAMES) for i, w in enumerate(words)}
 
 _Y, _N = r"(?P<y>\d{4})", r"[^\W\d_]+"
 _MON = rf"(?P<mon>{_N})\.?"
-_ZONE = r"(?P<z>Z|[+-]\d{2}(?::?\d{2})?|\[?[A-Z][A-Za-z_]+/[A-Za-z_/+-]+\]?|(?:UTC|GMT)[+-]\d{1,2}(?::?\d{2})?|[A-Z]{2,5})"
+_ZONE = r"(?P<z>Z|[+-]\d{2}(?::?\d{2})?|\[?[A-Z][A-Za-z_]+/[A-Za-z0-9_/+-]+\]?|(?:UTC|GMT)[+-]\d{1,2}(?::?\d{2})?|[A-Z]{2,5})"
 _TIME = r"(?P<h>\d{1,2})[:.](?P<mi>\d{2})(?:[:.](?P<s>\d{2})(?:[.,]\d+)?)?(?:\s*(?P<ap>[AaPp])\.?[Mm]\.?)?"
 _CLOCK = rf"(?:[T,]?\s*{_TIME}(?:\s*(?:h|hrs|Uhr|часов))?\s*{_ZONE}?|\s+(?P<hm>\d{{4}})\s*(?:h|hrs|Uhr)\.?\s*{_ZONE.replace('?P<z>', '?P<z2>')}?)?"
 _TAIL = r"(?:\s*г\.?)?"
@@ -222,3 +225,28 @@ def zone_intervals(name: str, first: int = 1900, last: int = 2100) -> list[tuple
         else:
             at += step
     return [*spans, (start, second(9998), known)]
+
+
+@lru_cache(1024)
+def _local_intervals(zone: str) -> tuple[tuple[int, int, int], ...]:
+    return tuple((a + off, b + off, off) for a, b, off in zone_intervals(zone))
+
+
+def resolve_local(local: int, zone: str) -> str | None:
+    """The instant of a local time in a zone: a repeated time is the earlier instant, a skipped one has the offset before the change; None
+    for an unknown zone."""
+    from zoneinfo import available_timezones
+
+    if zone not in available_timezones():
+        return None
+    spans = _local_intervals(zone)
+    fits = [off for a, b, off in spans if a <= local < b]
+    return instant(local - (max(fits) if fits else [off for _, b, off in spans if b <= local][-1]))
+
+
+def normal_time(text: str | None, order: str | None, zone: str | None = None) -> str | None:
+    """The normal text of a date or time; local times need a zone in the text or the one given."""
+    normal, local, own = read_date(text, order)
+    if local is None:
+        return normal
+    return resolve_local(local, own or zone) if own or zone else None

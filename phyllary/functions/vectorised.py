@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from phyllary.session import arrow_function
 
 
 def vectorised(return_type: str) -> Callable:
@@ -13,7 +14,7 @@ def vectorised(return_type: str) -> Callable:
 
     def wrap(f: Callable) -> Callable:
         def call(*columns: Column | str) -> Column:
-            return F.pandas_udf(f, return_type)(*columns)
+            return arrow_function(f, return_type)(*columns)
 
         call.__doc__ = f.__doc__
         return call

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from phyllary.functions.coordinates import feature_m
 from phyllary.functions.sphere import metres
 from phyllary.operators.ranks import numbered
+from phyllary.session import arrow_function
 
 #: (tag keys, values or words, exact or contained, classes that follow), in the order in which classes are listed (fixed values).
 TAG_RULES = [
@@ -292,5 +293,5 @@ def nearest_of_list(df: DataFrame, places: DataFrame, latitude: Column, longitud
         frame["m"] = frame["m"].where(np.isfinite(frame["m"]))
         return frame
 
-    found = F.pandas_udf(nearest, "struct<id:long,m:double>")(latitude, longitude)
+    found = arrow_function(nearest, "struct<id:long,m:double>")(latitude, longitude)
     return df.withColumn("__n", found).withColumn("nearest_id", F.col("__n.id")).withColumn("nearest_m", F.col("__n.m")).drop("__n")

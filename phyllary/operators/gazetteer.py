@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from phyllary.functions.sphere import degrees
 from phyllary.functions.text import first_present, text
+from phyllary.session import arrow_function
 
 #: Places up to which every worker holds the automaton of their names.
 PLACES = 500_000
@@ -89,7 +90,7 @@ def match_places(df: DataFrame, places: DataFrame, haystack: Column, country: Co
             out.append([(i, score, names) for _, _, i, score, names in sorted(rows)[:best]])
         return pd.Series(out, dtype=object)
 
-    found = F.pandas_udf(match, "array<struct<place_id:long,match_score:double,matched_names:string>>")
+    found = arrow_function(match, "array<struct<place_id:long,match_score:double,matched_names:string>>")
     df = df.drop("place_id", "match_score", "match_rank", "matched_names")
     rows = df.select(*df.columns, F.posexplode(found(text(haystack), text(country), text(state))).alias("__i", "__m"))
     return rows.select(*df.columns, F.col("__m.place_id").alias("place_id"), F.col("__m.match_score").alias("match_score"), (F.col("__i") + 1).cast("long").alias("match_rank"), F.col("__m.matched_names").alias("matched_names"))

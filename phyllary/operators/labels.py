@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from phyllary.functions.coordinates import elevation_range, is_wgs84
 from phyllary.functions.label_coordinates import read_coordinates
 from phyllary.functions.text import first_filled, text
+from phyllary.session import arrow_function
 
 COORDINATE = "array<struct<latitude:double,longitude:double,source_text:string,notation:string,datum:string,uncertainty_m:int,precision_kind:string>>"
 
@@ -25,7 +26,7 @@ def parsed_coordinates(c: Column) -> Column:
             out.append(memo[t])
         return pd.Series(out, dtype=object)
 
-    return F.coalesce(F.when(text(c).rlike(r"\d"), F.pandas_udf(read, COORDINATE)(c)), F.array().cast(COORDINATE))
+    return F.coalesce(F.when(text(c).rlike(r"\d"), arrow_function(read, COORDINATE)(c)), F.array().cast(COORDINATE))
 
 
 def is_precise(c: Column) -> Column:

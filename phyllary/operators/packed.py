@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phyllary.functions.segments import ADDRESS_STARTS, AND_WORDS, ATOMS, BEFORE_ADDRESS, automaton, runs, split_values
-from phyllary.session import durable
+from phyllary.session import arrow_function, durable, in_batches
 
 #: Known whole values, and characters in them, up to which every worker holds the automaton of all; beyond it each batch gets its own.
 DICTIONARY_ROWS, DICTIONARY_CHARS = 200_000, 20_000_000
@@ -56,7 +56,7 @@ def _splitter(kind: str, known):
             out.append(memo[t])
         return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(split, "array<string>")
+    return arrow_function(split, "array<string>")
 
 
 def _split_by_batches(rows: DataFrame, known: DataFrame, kind: str) -> DataFrame:
@@ -67,12 +67,12 @@ def _split_by_batches(rows: DataFrame, known: DataFrame, kind: str) -> DataFrame
     def count_atoms(values: pd.Series) -> pd.Series:
         return pd.Series([len(ATOMS[kind](v).spans) for v in values], dtype="int64")
 
-    longest = known.select(F.max(F.pandas_udf(count_atoms, "long")("value"))).first()[0] or 1
+    longest = known.select(F.max(arrow_function(count_atoms, "long")("value"))).first()[0] or 1
 
     def tries(texts: pd.Series) -> pd.Series:
         return pd.Series([runs(t, kind, longest) for t in texts], dtype=object)
 
-    tried = rows.select("__id", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).alias("__salt"), F.explode(F.pandas_udf(tries, "array<string>")("__text")).alias("value"))
+    tried = rows.select("__id", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).alias("__salt"), F.explode(arrow_function(tries, "array<string>")("__text")).alias("value"))
     salted = known.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     hits = tried.join(salted, ["value", "__salt"]).groupBy("__id").agg(F.collect_list("value").alias("__known"))
     both = rows.join(hits, "__id", "left")
@@ -84,7 +84,7 @@ def _split_by_batches(rows: DataFrame, known: DataFrame, kind: str) -> DataFrame
             b["__items"] = [split_values(t, kind, a) for t in b["__text"]]
             yield b.drop(columns="__known")
 
-    return both.mapInPandas(per_batch, schema)
+    return in_batches(both, per_batch, schema)
 
 
 def split_packed(df: DataFrame, text: str, kind: str, known: DataFrame | None = None, single: bool = False, dictionary_rows: int = DICTIONARY_ROWS, dictionary_chars: int = DICTIONARY_CHARS) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phyllary.functions.sphere import RADIUS_M, degrees, local_pairs, unit_vectors, usable_place
+from phyllary.session import arrow_function, in_batches
 
 #: Pivots, chosen by hash among the distinct places of the first side rounded to a tenth of a degree: a bound on driver and broadcast data.
 PIVOTS = 512
@@ -49,7 +50,7 @@ def _cells(pivots: np.ndarray, radius: float, every: bool):
             out.extend(np.split(c, np.searchsorted(r, np.arange(1, len(best)))))
         return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(assign, "array<int>")
+    return arrow_function(assign, "array<int>")
 
 
 def pairs_within(
@@ -115,4 +116,4 @@ def pairs_within(
         yield from flush()
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return blocks.repartition(tasks, "__cell", "i", "j").sortWithinPartitions("__cell", "i", "j").mapInPandas(join, schema)
+    return in_batches(blocks.repartition(tasks, "__cell", "i", "j").sortWithinPartitions("__cell", "i", "j"), join, schema)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from phyllary.functions.coordinates import six_decimals
 from phyllary.functions.text import first_filled, split_languages, text
 from phyllary.functions.vectorised import vectorised
+from phyllary.session import in_batches
 from phyllary.sources.common import entries, value
 
 #: Label field -> names under which answers give it (fixed values).
@@ -156,7 +157,7 @@ def ask(requests: DataFrame, client: Callable[[str], str], key: str = "key", pro
             yield pd.DataFrame(out, columns=[key, "answer", "error"])
 
     kind = requests.select(key).schema[0].dataType.simpleString()
-    return requests.select(key, prompt).mapInPandas(call, f"`{key}` {kind}, answer string, error string")
+    return in_batches(requests.select(key, prompt), call, f"`{key}` {kind}, answer string, error string")
 
 
 def add_answers(spark: SparkSession, folder: str, answers: DataFrame, key: str = "key") -> None:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phyllary.functions.dates import EPOCH, read_date, zone_intervals
+from phyllary.functions.dates import EPOCH, SHARED_ZONES, read_date, zone_intervals
 from phyllary.functions.vectorised import vectorised
 
 #: Years with intervals of their own; local times outside them take the nearest of these years.
@@ -68,14 +68,15 @@ def _day_of(seconds: Column) -> Column:
 
 
 def normalise_times(df: DataFrame, text: str, order: str | None = None, zone: str | None = None) -> DataFrame:
-    """df with normal_text (null if no possible date can be read) and time_status (date, instant, unique, ambiguous, nonexistent, no_zone, none).
+    """df with normal_text (null if no possible date can be read) and time_status (date, instant, assumed, unique, ambiguous, nonexistent,
+    no_zone, none). assumed is an instant whose zone is an abbreviation that other zones share: it has its usual offset.
 
     order and zone name columns with the date order and IANA zone of each row's source; null zones leave local times unread (no_zone).
     Null, blank and very long texts give null; repeated rows stay rows; columns of df are kept, also such as are named like the new ones
     (those are replaced). An empty df gives an empty result.
     """
     spark = df.sparkSession
-    named = df.select(F.regexp_extract(F.col(text), r"(?<![A-Za-z_])([A-Z][A-Za-z_]++/[A-Za-z_/+-]++)", 1).alias("z")).where("z <> ''").distinct()
+    named = df.select(F.regexp_extract(F.col(text), r"(?<![A-Za-z_])([A-Z][A-Za-z_]++/[A-Za-z0-9_/+-]++)", 1).alias("z")).where("z <> ''").distinct()
     if zone:
         named = named.union(df.select(F.col(zone)).where(F.col(zone).isNotNull()).distinct()).distinct()
     known = spark.createDataFrame([(z,) for z in sorted(available_timezones())], "z string")
@@ -91,8 +92,9 @@ def normalise_times(df: DataFrame, text: str, order: str | None = None, zone: st
     rest = F.pmod(utc, F.lit(86400))
     solved = F.concat(_day_of(utc).cast("string"), F.format_string("T%02d:%02d:%02dZ", F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60))
     normal = F.coalesce(F.col("__r.normal"), F.when(F.col("__iv").isNotNull(), solved))
+    shared = rf"\d\s*(?i:[ap]\.?m\.?\s*)?(?:{'|'.join(SHARED_ZONES)})\s*$"
     how = (
-        F.when(F.col("__r.normal").isNotNull(), F.when(F.col("__r.normal").endswith("Z"), "instant").otherwise("date"))
+        F.when(F.col("__r.normal").isNotNull(), F.when(F.col("__r.normal").endswith("Z"), F.when(F.col(text).rlike(shared), "assumed").otherwise("instant")).otherwise("date"))
         .when(F.col("__r.local_s").isNull(), "none")
         .when(F.col("__iv").isNull(), "no_zone")
         .otherwise(status)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from inspect import signature
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from phyllary.functions.dates import read_date
+from phyllary.functions.dates import normal_time
 from phyllary.functions.label_coordinates import read_coordinates
 from phyllary.functions.place_names import name_similarity
 from phyllary.functions.quantities import read_altitude
 from phyllary.functions.segments import split_values
 from phyllary.operators.environment import parse_habitats
+from phyllary.operators.labels import COORDINATE
 from phyllary.session import prepare, table
 
 #: Expressions of SQL functions that need no Python: name, parameters, return type, body.
@@ -25,23 +27,46 @@ EXPRESSIONS = [
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Temporary functions: normal_date, altitude_low, altitude_high, coordinates, name_similarity, known_habitats, split_names,
+    """Temporary functions: normal_date (text, date order), normal_time (also the zone of a local time), altitude_low, altitude_high, coordinates, name_similarity, known_habitats, split_names,
     split_addresses and those of EXPRESSIONS. Gives their names."""
     prepare(spark)
-    coordinate = T.StructType([T.StructField(n, t) for n, t in (("latitude", T.DoubleType()), ("longitude", T.DoubleType()), ("source_text", T.StringType()), ("notation", T.StringType()), ("datum", T.StringType()), ("uncertainty_m", T.IntegerType()), ("precision_kind", T.StringType()))])
-    texts = T.ArrayType(T.StringType())
+
+    def each(f, kind: str):
+        """A function of values as one of whole columns; each distinct input of a batch is worked on once."""
+
+        def run(columns: tuple[pd.Series, ...]) -> pd.Series:
+            memo: dict = {}
+            out = []
+            for key in zip(*[c.where(c.notna(), None) for c in columns], strict=True):
+                if key not in memo:
+                    memo[key] = f(*key)
+                out.append(memo[key])
+            return pd.Series(out, dtype=object)
+
+        def one(a: pd.Series) -> pd.Series:
+            return run((a,))
+
+        def two(a: pd.Series, b: pd.Series) -> pd.Series:
+            return run((a, b))
+
+        def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+            return run((a, b, c))
+
+        return F.pandas_udf({1: one, 2: two, 3: three}[len(signature(f).parameters)], kind)
+
     functions = {
-        "normal_date": (lambda t, order: read_date(t, order)[0], T.StringType()),
-        "altitude_low": (lambda t, unit: (read_altitude(t, (unit,) if unit else ()) or (None,))[0], T.LongType()),
-        "altitude_high": (lambda t, unit: (read_altitude(t, (unit,) if unit else ()) or (None, None))[1], T.LongType()),
-        "coordinates": (read_coordinates, T.ArrayType(coordinate)),
-        "name_similarity": (name_similarity, T.DoubleType()),
-        "known_habitats": (lambda t: parse_habitats(t)[0], texts),
-        "split_names": (lambda t: split_values(t, "name", None), texts),
-        "split_addresses": (lambda t: split_values(t, "address", None), texts),
+        "normal_date": each(lambda t, order: normal_time(t, order), "string"),
+        "normal_time": each(lambda t, order, zone: normal_time(t, order, zone), "string"),
+        "altitude_low": each(lambda t, unit: (read_altitude(t, (unit,) if unit else ()) or (None,))[0], "long"),
+        "altitude_high": each(lambda t, unit: (read_altitude(t, (unit,) if unit else ()) or (None, None))[1], "long"),
+        "coordinates": each(lambda t: read_coordinates(t), COORDINATE),
+        "name_similarity": each(lambda a, b: name_similarity(a, b), "double"),
+        "known_habitats": each(lambda t: parse_habitats(t)[0], "array<string>"),
+        "split_names": each(lambda t: split_values(t, "name", None), "array<string>"),
+        "split_addresses": each(lambda t: split_values(t, "address", None), "array<string>"),
     }
-    for name, (f, kind) in functions.items():
-        spark.udf.register(name, F.udf(f, kind, useArrow=True))
+    for name, f in functions.items():
+        spark.udf.register(name, f)
     for name, parameters, kind, body in EXPRESSIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
     return [*functions, *[e[0] for e in EXPRESSIONS]]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from phyllary.functions.images import best_image
 from phyllary.functions.text import first_filled, name_matches, text
+from phyllary.session import in_batches
 from phyllary.sources.common import SPECIMEN, finish
 
 ROW = "archive string, file string, row_no long, row map<string,string>"
@@ -42,7 +43,7 @@ def archive_rows(files: DataFrame, names: list[str]) -> DataFrame:
                         if held:
                             yield pd.DataFrame(held, columns=["archive", "file", "row_no", "row"])
 
-    return files.select("path", "content").mapInPandas(read, ROW)
+    return in_batches(files.select("path", "content"), read, ROW)
 
 
 def read_archives(spark: SparkSession, path: str, names: list[str]) -> DataFrame:

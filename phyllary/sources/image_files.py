@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phyllary.functions.text import text
+from phyllary.session import in_batches
 
 #: Below these an image is too small, or too much compressed, for small labels.
 SHORT_SIDE, MEGAPIXELS, BYTES = 1200, 2.0, 250_000
@@ -64,7 +65,7 @@ def inspect_images(files: DataFrame) -> DataFrame:
             sizes = [image_size(c) or (None, None) for c in b["content"]]
             yield pd.DataFrame({"path": b["path"], "width": pd.array([s[0] for s in sizes], "Int32"), "height": pd.array([s[1] for s in sizes], "Int32"), "size": b["length"], "sha256": b["sha256"]})
 
-    out = files.select("path", "length", "content", F.sha2("content", 256).alias("sha256")).mapInPandas(read, "path string, width int, height int, size long, sha256 string")
+    out = in_batches(files.select("path", "length", "content", F.sha2("content", 256).alias("sha256")), read, "path string, width int, height int, size long, sha256 string")
     return out.withColumn("status", quality(F.col("width"), F.col("height"), F.col("size")))
 
 

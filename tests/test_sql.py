@@ -12,6 +12,7 @@ def test_functions_and_views(spark, sf):
     assert {"normal_date", "great_circle_m", "coordinates"} <= set(names) and "specimen_records" in register_tables(spark, sf)
     r = spark.sql("select normal_date('28/5/1994', 'dmy') a, altitude_low('1520 ft (463 m)', null) b, altitude_high(null, 'm') c, coordinates('N 23°27′ E 120°55′')[0].latitude d, plain_code('tns-1') e, size(split_names('A. Bee; C. Dee')) f, known_habitats('bog, x') g").first()
     assert (r.a, r.b, r.c, round(r.d, 2), r.e, r.f, r.g) == ("1994-05-28", 463, None, 23.45, "TNS1", 2, ["bog"])
+    assert spark.sql("select normal_time('2021-02-19 17:56', 'dmy', 'Asia/Tokyo') a, normal_date('2020-01-01 10:00 Asia/Tokyo', null) b").first() == ("2021-02-19T08:56:00Z", "2020-01-01T01:00:00Z")
     assert spark.sql("select count(*) n from specimen_records where great_circle_m(0, 0, 0, 1) > 111000").first().n > 0
 
 

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from phyllary.functions.dates import read_date, zone_minutes
+from phyllary.functions.dates import normal_time, read_date, zone_minutes
 from phyllary.operators.timestamps import normalise_times
 
 CASES = [
@@ -41,6 +41,13 @@ def test_local_times_by_zone_intervals(spark):
     assert normalise_times(df.limit(0), "text", "o", "z").count() == 0
 
 
+def test_zone_names_with_digits_and_shared_abbreviations(spark):
+    rows = [("2020-01-01 10:00 Etc/GMT+5", "2020-01-01T15:00:00Z", "unique"), ("2020-01-01 10:00 CST", "2020-01-01T16:00:00Z", "assumed"), ("2020-01-01 10:00 IST", "2020-01-01T04:30:00Z", "assumed"), ("2020-01-01 10:00 EST", "2020-01-01T15:00:00Z", "instant")]
+    df = spark.createDataFrame([(t,) for t, _, _ in rows], "text string")
+    assert {(r.text, r.normal_text, r.time_status) for r in normalise_times(df, "text").collect()} == set(rows)
+    assert normal_time("2023-11-05 01:42", "mdy", "America/New_York") == "2023-11-05T05:42:00Z" and normal_time("2023-03-12 02:56", "mdy", "America/New_York") == "2023-03-12T07:56:00Z" and normal_time("2023-03-12 02:56", "mdy") is None
+
+
 def test_every_hour_of_a_year_agrees_with_the_zone_database(spark):
     from datetime import datetime, timedelta
     from zoneinfo import ZoneInfo
