@@ -92,6 +92,36 @@ class VantageTree:
                     todo.append((child, keep))
         return np.concatenate(out_q), np.concatenate(out_p)
 
+    def nearest(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, metres) of the nearest point of each query, equal distances to the smaller point; -1 and infinity without points."""
+        point, far_m = np.full(len(lat), -1, np.int64), np.full(len(lat), np.inf)
+
+        def visit(at: int, q: np.ndarray) -> None:
+            node = self.nodes[at]
+            if len(node) == 1:
+                rows = np.sort(node[0])
+                for s in range(0, len(q), 4096):
+                    part = q[s : s + 4096]
+                    d = metres(lat[part, None], lon[part, None], self.lat[rows][None], self.lon[rows][None])
+                    k = d.argmin(axis=1)
+                    m, p = d[np.arange(len(part)), k], rows[k]
+                    better = (m < far_m[part]) | (m == far_m[part]) & (p < point[part])
+                    point[part[better]], far_m[part[better]] = p[better], m[better]
+                return
+            _, far, (a, b, c, e), near, rest = node
+            d = metres(lat[q], lon[q], self.lat[far], self.lon[far])
+            first = d <= (b + c) / 2
+            # the side a query lies on first, then the other as far as it may hold a nearer point
+            for child, mine in ((near, first), (rest, ~first), (rest, first), (near, ~first)):
+                low, high = (a, b) if child == near else (c, e)
+                keep = mine & (d + far_m[q] + 1e-3 >= low) & (d - far_m[q] - 1e-3 <= high)
+                if keep.any():
+                    visit(child, q[keep])
+
+        if self.nodes and len(lat):
+            visit(0, np.nonzero(~(np.isnan(lat) | np.isnan(lon)))[0])
+        return point, far_m
+
 
 def _groups(lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct places (one row of each), and the rows in order of place with where each place starts."""

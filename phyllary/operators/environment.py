@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phyllary.functions.coordinates import feature_m
-from phyllary.functions.sphere import metres
+from phyllary.functions.sphere import VantageTree
 from phyllary.operators.ranks import numbered
 from phyllary.session import arrow_function
 
@@ -268,30 +268,38 @@ def route_scores(points: DataFrame) -> DataFrame:
     return points.withColumn("point_score", F.when(~ruled_out, F.when(F.col("target").isNotNull(), with_target).otherwise(without)))
 
 
-def nearest_of_list(df: DataFrame, places: DataFrame, latitude: Column, longitude: Column, most: int = 500_000) -> DataFrame:
-    """df with nearest_id and nearest_m: the nearest place of a list (place_id, latitude, longitude as numbers; at most `most`, else an
-    error), equal distances to the smaller place_id; null where the row has no place. One pass, no join."""
-    got = places.select("place_id", "latitude", "longitude").orderBy("place_id").limit(most + 1).collect()
-    if len(got) > most:
-        raise ValueError(f"the list has more than {most} places")
-    ids = np.array([r[0] for r in got], dtype=np.int64)
-    lat, lon = np.radians([float(r[1]) for r in got]), np.radians([float(r[2]) for r in got])
-    sent = df.sparkSession.sparkContext.broadcast((ids, lat, lon, uuid.uuid4().hex))
+_worker: dict = {}
+
+
+def _nearest_in(sent, token: str):
+    """The search in a list of places (ids, latitudes and longitudes in radians) that every worker makes a tree of once."""
 
     def nearest(a: pd.Series, o: pd.Series) -> pd.DataFrame:
-        own, plat, plon, _ = sent.value
-        out_id, out_m = [], []
-        for s in range(0, len(a), 2048):
-            x, y = np.radians(a.values[s : s + 2048].astype(float)), np.radians(o.values[s : s + 2048].astype(float))
-            d = metres(x[:, None], y[:, None], plat[None], plon[None])
-            d = np.where(np.isnan(d), np.inf, d)
-            best = d.argmin(axis=1)
-            out_m.append(d[np.arange(len(best)), best])
-            out_id.append(own[best])
-        frame = pd.DataFrame({"id": np.concatenate(out_id), "m": np.concatenate(out_m)}) if out_id else pd.DataFrame({"id": [], "m": []})
-        frame["id"] = frame["id"].astype("Int64").where(np.isfinite(frame["m"]), pd.NA)
-        frame["m"] = frame["m"].where(np.isfinite(frame["m"]))
-        return frame
-
-    found = arrow_function(nearest, "struct<id:long,m:double>")(latitude, longitude)
-    return df.withColumn("__n", found).withColumn("nearest_id", F.col("__n.id")).withColumn("nearest_m", F.col("__n.m")).drop("__n")
+        ids, lat, lon = sent.value
+        if token not in _worker:
+            _worker[token] = VantageTree(lat, lon)
+        p, m = _worker[token].nearest(np.radians(a.to_numpy(float, na_value=np.nan)), np.radians(o.to_numpy(float, na_value=np.nan)))
+        found = p >= 0
+        out = np.where(found, ids[np.maximum(p, 0)] if len(ids) else 0, 0)
+        return pd.DataFrame({"m": np.where(found, m, np.nan), "id": pd.Series(out).astype("Int64").where(found, pd.NA)})
+
+    return nearest
+
+
+def nearest_of_list(df: DataFrame, places: DataFrame, latitude: Column, longitude: Column, block_rows: int = 500_000) -> DataFrame:
+    """df with nearest_id and nearest_m: the nearest place of a list (place_id, latitude, longitude as numbers), equal distances to the
+    smaller place_id; null where the row or the list has no place. One pass over df, no join: the list goes to the workers, where a
+    vantage-point tree is searched; lists of more than block_rows places go as several blocks by hash, each with a tree of its own,
+    and the nearest of the blocks' nearest counts. Repeated rows stay; columns of the two names are replaced."""
+    places = places.select(F.col("place_id").cast("long").alias("place_id"), F.col("latitude").cast("double").alias("a"), F.col("longitude").cast("double").alias("o")).where("place_id is not null and a is not null and o is not null")
+    total = places.count()
+    blocks = max(1, -(-total // block_rows))
+    best = []
+    for b in range(blocks):
+        part = places.where(F.pmod(F.xxhash64("place_id"), F.lit(blocks)) == b).orderBy("place_id").toPandas()
+        sent = df.sparkSession.sparkContext.broadcast((part["place_id"].to_numpy(np.int64), np.radians(part["a"].to_numpy(float)), np.radians(part["o"].to_numpy(float))))
+
+        s = arrow_function(_nearest_in(sent, uuid.uuid4().hex), "struct<m:double,id:long>")(latitude, longitude)
+        best.append(F.when(s["id"].isNotNull(), s))
+    chosen = best[0] if blocks == 1 else F.array_min(F.filter(F.array(*best), lambda x: x.isNotNull()))
+    return df.withColumn("__n", chosen).withColumn("nearest_id", F.col("__n.id")).withColumn("nearest_m", F.col("__n.m")).drop("__n")

@@ -27,6 +27,14 @@ def priority(order: str) -> Column:
     )
 
 
+def ordered_values(df: DataFrame, key: list[str], value: str, order: str, name: str) -> DataFrame:
+    """key, name: the distinct filled values of each key in the order of their first appearance (an array). A value is reduced to its
+    first appearance before the key's are brought together, so the array has no more entries than there are values."""
+    firsts = df.where(F.coalesce(F.col(value), F.lit("")) != "").groupBy(*key, value).agg(F.min(order).alias("__o"))
+    ordered = F.array_sort(F.collect_list(F.struct("__o", value)))
+    return firsts.groupBy(*key).agg(F.transform(ordered, lambda s: s[value]).alias(name))
+
+
 def merged_records(records: DataFrame, order: str = "seq") -> DataFrame:
     """One row for each physical specimen: first_seq and the record fields.
 

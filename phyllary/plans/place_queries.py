@@ -19,10 +19,11 @@ from phyllary.functions.coordinates import (
     status_with_issue,
     uncertainty_m,
 )
-from phyllary.functions.place_names import similarity
+from phyllary.functions.place_names import GENERIC, similarity
 from phyllary.functions.sphere import degrees
 from phyllary.functions.text import text
 from phyllary.operators.candidates import anchor_rank, best_by_tier, first_without_veto, label_conflicts, with_rank
+from phyllary.operators import environment
 from phyllary.operators.environment import distance_sample, habitat_score, habitat_table, nearest_of_list, route_class, tag_classes
 from phyllary.operators.gazetteer import match_places, read_places
 from phyllary.operators.labels import parsed_coordinates
@@ -158,7 +159,7 @@ def radius_range_join(spark, d):
 @query(f"""with g as (select place_id, {deg("decimal_latitude")} as b, {deg("decimal_longitude")} as p from gazetteer_entries where {deg("decimal_latitude")} is not null and {deg("decimal_longitude")} is not null),
 r as (select seq, {_A} as a, {_O} as o from specimen_records where {place_ok(_A, _O)}),
 x as (select seq, place_id, {km("a", "o", "b", "p")} as k from r, g) select seq, round(min(k), 6) as nearest_km from x group by seq""")
-def nearest_feature(spark, d):
+def nearest_place(spark, d):
     """The nearest gazetteer place of each record."""
     g = read_places(table(spark, d, "gazetteer_entries")).select("place_id", degrees(F.col("latitude")).alias("latitude"), degrees(F.col("longitude")).alias("longitude"))
     r = table(spark, d, "specimen_records").select("seq", degrees(F.col("decimal_latitude")).alias("a"), degrees(F.col("decimal_longitude")).alias("o"))
@@ -166,6 +167,22 @@ def nearest_feature(spark, d):
     return nearest_of_list(r, g, F.col("a"), F.col("o")).select("seq", F.round(F.col("nearest_m") / 1000, 6).alias("nearest_km"))
 
 
+@query(f"""with g as (select place_id, country, {deg("decimal_latitude")} as b, {deg("decimal_longitude")} as p from gazetteer_entries where coalesce(country, '') <> ''),
+r as (select seq, country, {_A} as a, {_O} as o from specimen_records where {place_ok(_A, _O)}),
+x as (select seq, place_id, {km("a", "o", "b", "p")} as k from r join g using (country) where b is not null and p is not null and place_id % 4 <> 3)
+select seq, round(min(k), 6) as nearest_km, arg_min(case when place_id % 4 = 0 then 'forest' when place_id % 4 = 1 then 'river' else 'forest' end, {{'k': k, 'i': place_id}}) as class from x group by seq""")
+def nearest_feature(spark, d):
+    """The nearest place with a forest or a river of each record's country; places are taken to have one, the other, both or a desert."""
+    g = table(spark, d, "gazetteer_entries").where("coalesce(country, '') <> ''")
+    lat, lon = degrees(F.col("decimal_latitude")), degrees(F.col("decimal_longitude"))
+    classes = F.get(F.array(*[F.array(*map(F.lit, c)) for c in (["forest"], ["river"], ["river", "forest"], ["desert"])]), (F.col("place_id") % 4).cast("int"))
+    features = g.select("country", F.col("place_id").alias("feature_id"), classes.alias("classes"), F.array(F.struct(lat.alias("lat"), lon.alias("lon"))).alias("geometry")).where(lat.isNotNull() & lon.isNotNull())
+    points = table(spark, d, "specimen_records").select("seq", "country", lat.alias("latitude"), lon.alias("longitude"))
+    points = points.where("latitude between -90 and 90 and longitude between -180 and 180 and not (latitude = 0 and longitude = 0)")
+    out = environment.nearest_feature(points, F.broadcast(features), "seq", "country", F.array(F.lit("river"), F.lit("forest")))
+    return out.select("seq", F.round(F.col("distance_m") / 1000, 6).alias("nearest_km"), "class")
+
+
 _SEG = [("lat1", "l_orderkey % 50 + 0.01"), ("lon1", "l_partkey % 90 + 0.02"), ("lat2", "l_orderkey % 50 + 0.03"), ("lon2", "l_partkey % 90 + 0.01"), ("lat", "l_orderkey % 50 + 0.02"), ("lon", "l_partkey % 90 + l_linenumber * 0.01")]
 
 
@@ -239,13 +256,27 @@ def habitat_dimension(spark, d):
 QUERIES["habitat_dimension"] = habitat_dimension
 
 
+def _plain_sql(c: str) -> str:
+    x = f"lower({c})"
+    for g in GENERIC:
+        x = f"replace({x}, '{g}', ' ')"
+    return f"trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+
+
+def _shared_sql(a: str, b: str) -> str:
+    return f"(case when len({a}) > 0 and len({b}) > 0 then len(list_intersect({a}, {b}))::double / len(list_distinct(list_concat({a}, {b}))) else 0.0 end)"
+
+
+@query(f"""with x as (select cand_seq, {_plain_sql('modern_place_name')} as n, {_plain_sql('historical_place_name')} as c from coordinate_candidates where historical_place_name <> '' and modern_place_name <> ''),
+w as (select *, list_distinct(list_filter(string_split(n, ' '), lambda t: length(t) >= 3)) as nw, list_distinct(list_filter(string_split(c, ' '), lambda t: length(t) >= 3)) as cw,
+ list_distinct(regexp_extract_all(n, '[\\x{{3400}}-\\x{{9fff}}]{{2}}')) as np, list_distinct(regexp_extract_all(c, '[\\x{{3400}}-\\x{{9fff}}]{{2}}')) as cp from x)
+select cand_seq, round(case when n = '' or c = '' then 0.0 when length(n) > 1 and (contains(c, n) or contains(n, c)) then 1.0 else greatest({_shared_sql('nw', 'cw')}, {_shared_sql('np', 'cp')}) end, 6) as similarity from w""")
 def name_jaccard(spark, d):
     """How alike the modern and historical place names of candidates are."""
     c = table(spark, d, "coordinate_candidates").where("historical_place_name <> '' and modern_place_name <> ''")
     return c.select("cand_seq", F.round(similarity(F.col("modern_place_name"), F.col("historical_place_name")), 6).alias("similarity"))
 
 
-QUERIES["name_jaccard"] = name_jaccard
 _HAY = "lower(concat_ws(' ', coalesce(modern_place_name, ''), coalesce(historical_place_name, ''), coalesce(locality_text, ''), coalesce(label_transcription, '')))"
 
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phyllary.functions.images import best_image
+from phyllary.operators.report import source_totals
+from phyllary.sources.image_files import image_accounts
+from phyllary.sources.archives import under_keys
+from phyllary.sources.common import page_of, union_components
+from phyllary.functions.images import best_image, media_rank
 from phyllary.functions.partial_dates import date_from_any, date_from_parts, epoch_date
 from phyllary.functions.text import (
     appended_value,
@@ -23,7 +27,7 @@ from phyllary.functions.text import (
 )
 from phyllary.operators.export import darwin_core, sidecar
 from phyllary.operators.identity import identity_key, image_basename, numbered_names, with_codes
-from phyllary.operators.merge import duplicate_gatherings, first_seen, merged_records
+from phyllary.operators.merge import duplicate_gatherings, first_seen, merged_records, ordered_values
 from phyllary.schema import EXPORT_FIELDS, RECORD_FIELDS, as_records
 from phyllary.session import table
 
@@ -161,9 +165,7 @@ def dedup_first_seen(spark, d):
 select sha256(text) as text_key, string_agg(source, '; ' order by o) as sources from a group by 1 having count(*) > 1""")
 def merged_sources_ordered_distinct(spark, d):
     docs = table(spark, d, "documents").where("text <> '' and source is not null").select(F.sha2("text", 256).alias("text_key"), "source", "doc_id")
-    firsts = docs.groupBy("text_key", "source").agg(F.min("doc_id").alias("o"))
-    out = firsts.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("o", "source"))).alias("s")).where(F.size("s") > 1)
-    return out.select("text_key", F.array_join(F.transform("s", lambda x: x["source"]), "; ").alias("sources"))
+    return ordered_values(docs, ["text_key"], "source", "doc_id", "s").where(F.size("s") > 1).select("text_key", F.array_join("s", "; ").alias("sources"))
 
 
 _NAME_TOKEN = "coalesce(nullif(array_to_string(list_slice(regexp_extract_all(query_name, '[A-Za-z][A-Za-z-]*'), 1, 2), '_'), ''), 'Unknown_taxon')"
@@ -200,14 +202,17 @@ def source_union_budget(spark, d):
     """Components of a federated source in their order share one budget of records for each name (the feature: a per-query limit)."""
     records = table(spark, d, "specimen_records").select("seq", "query_name", "source")
     ranked = records.join(F.broadcast(table(spark, d, "source_profiles").select("source", "trust_rank")), "source")
-    n = F.row_number().over(Window.partitionBy("query_name").orderBy("trust_rank", "source", "seq")).cast("long")
-    return ranked.withColumn("place", n).where("place <= 50").select("seq", "query_name", "source", "place")
+    # pages of a component are its sources by trust, items their records
+    items = ranked.select("seq", "query_name", F.col("source").alias("own"), F.col("trust_rank").alias("page_no"), F.struct(F.col("source").alias("s"), "seq").alias("item_no"), "source")
+    out = union_components([items.where("page_no <= 3"), items.where("page_no > 3")], "federated", 50, number="place")
+    return out.select("seq", "query_name", F.col("own").alias("source"), "place")
 
 
 @query("select o_orderkey, o_totalprice from orders order by o_orderkey limit 100 offset 200")
 def page_offset_limit(spark, d):
     """One page of an ordered scan (the feature: paging)."""
-    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").offset(200).limit(100)
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.lit("orders").alias("source"), F.lit("all").alias("query_name"))
+    return page_of(orders, 200, 100, ("o_orderkey",)).select("o_orderkey", "o_totalprice")
 
 
 @query("""with m as (select trim(catalog_number) as id, image_path, label_seq from label_reads where trim(catalog_number) <> ''),
@@ -216,20 +221,25 @@ j as (select k.seq, m.image_path, m.label_seq from k join m on m.id = k.k1 where
 select k.seq, count(j.label_seq) as media, coalesce(min(j.image_path), '') as first_path from k left join j using (seq) group by k.seq""")
 def media_left_join_two_keys(spark, d):
     """Media of a record under its catalogue number and, where that differs, under its source's id."""
-    media = table(spark, d, "label_reads").select(F.trim("catalog_number").alias("id"), "image_path", "label_seq").where("id <> ''")
+    media = table(spark, d, "label_reads").select(F.trim("catalog_number").alias("mid"), "image_path", "label_seq").where("mid <> ''")
     core = table(spark, d, "specimen_records").select("seq", F.trim(text("catalog_number")).alias("k1"), F.trim(text("source_record_id")).alias("k2"))
-    keys = core.select("seq", F.explode(F.array_distinct(F.filter(F.array("k1", "k2"), lambda k: k != ""))).alias("id"))
-    per = keys.join(media, "id").groupBy("seq").agg(F.count("*").alias("media"), F.min("image_path").alias("first_path"))
+    held = under_keys(core, media, ["seq"], F.array("k1", "k2"), {"n": F.count("*"), "path": F.min("image_path")})
+    per = held.groupBy("seq").agg(F.sum("n").alias("media"), F.min("path").alias("first_path"))
     return core.select("seq").join(per, "seq", "left").select("seq", F.coalesce("media", F.lit(0)).alias("media"), F.coalesce("first_path", F.lit("")).alias("first_path"))
 
 
-@query("""select catalog_number, arg_min(label_seq, {'p': -coalesce(try_cast(image_width as bigint), 0) * coalesce(try_cast(image_height as bigint), 0), 's': label_seq}) as best_label, count(*) as reads
-from label_reads where trim(catalog_number) <> '' group by 1""")
+_MEDIA_URL, _MEDIA_KIND, _MEDIA_FORMAT = "case when label_seq % 4 = 0 then 'https://a.example/full/' || image_width || ',/x' when label_seq % 4 = 1 then 'https://a.example/originals/' || image_path else image_path end", "case when label_seq % 3 = 0 then 'StillImage' else 'Sound' end", "case when label_seq % 2 = 0 then 'image/jpeg' else '' end"
+
+
+@query(f"""with m as (select trim(catalog_number) as catalog_number, label_seq, coalesce({_MEDIA_URL}, '') as url, {_MEDIA_KIND} as kind, {_MEDIA_FORMAT} as fmt from label_reads where trim(catalog_number) <> ''),
+r as (select *, case when kind = 'StillImage' then 2 else 0 end + case when fmt like 'image/%' then 1 else 0 end as k, case when regexp_matches(url, '/full/[0-9]+,') then regexp_extract(url, '/full/([0-9]+),', 1)::int when contains(lower(url), '/originals/') then 10000
+ when regexp_matches(lower(url), '[.](jpg|jpeg|png|tif|tiff|webp)($|[?])') then 1000 else 0 end as size from m)
+select catalog_number, arg_max(label_seq, {{'k': k, 's': size, 'u': url, 'l': -label_seq}}) as best_label, count(*) as reads from r group by 1""")
 def best_media(spark, d):
-    """The largest image of each catalogue number, the first of equals."""
-    reads = table(spark, d, "label_reads").where("trim(catalog_number) <> ''")
-    size = F.coalesce(F.col("image_width").try_cast("long"), F.lit(0)) * F.coalesce(F.col("image_height").try_cast("long"), F.lit(0))
-    return reads.groupBy("catalog_number").agg(F.min_by("label_seq", F.struct(-size, F.col("label_seq"))).alias("best_label"), F.count("*").alias("reads"))
+    """The best of the media items of each catalogue number, the first of equals."""
+    reads = table(spark, d, "label_reads").withColumn("catalog_number", F.trim("catalog_number")).where("catalog_number <> ''")
+    rank = F.struct(media_rank(F.expr(_MEDIA_URL), F.expr(_MEDIA_KIND), F.expr(_MEDIA_FORMAT)).alias("r"), (-F.col("label_seq")).alias("l"))
+    return reads.groupBy("catalog_number").agg(F.max_by("label_seq", rank).alias("best_label"), F.count("*").alias("reads"))
 
 
 _LABEL_FIELDS = {"locality": "locality_text", "event_date": "event_date_text", "recorded_by": "collector_text", "elevation": "elevation_text"}
@@ -252,10 +262,9 @@ def sidecar_first_wins_join(spark, d):
 select 'referenced' as kind, count(*) as files from l where image_path in (select image_path from c) union all select 'unreferenced', count(*) from l where image_path not in (select image_path from c)""")
 def semi_anti_accounting(spark, d):
     """Files that other rows refer to, and files that none does."""
-    files = table(spark, d, "label_reads").select("image_path").where("image_path <> ''").distinct()
-    refs = table(spark, d, "coordinate_candidates").select("image_path").where("image_path <> ''").distinct()
-    flagged = files.join(refs.withColumn("__r", F.lit(1)), "image_path", "left").groupBy().agg(F.count("__r").alias("a"), F.count("*").alias("n"))
-    return flagged.select(F.explode(F.array(F.struct(F.lit("referenced").alias("kind"), F.col("a").alias("files")), F.struct(F.lit("unreferenced").alias("kind"), (F.col("n") - F.col("a")).alias("files")))).alias("x")).select("x.*")
+    files = table(spark, d, "label_reads").select(F.col("image_path").alias("path")).where("path <> ''")
+    both = image_accounts(files, table(spark, d, "coordinate_candidates").select(F.col("image_path").alias("path")))
+    return both.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("files")) for k in ("referenced", "unreferenced")])).alias("x")).select("x.*")
 
 
 _Y, _M, _D = "year(o_orderdate)::varchar", "case when o_orderkey % 5 = 0 then '' else month(o_orderdate)::varchar end", "case when o_orderkey % 3 = 0 then '' else day(o_orderdate)::varchar end"
@@ -340,17 +349,7 @@ select case when grouping(source) = 1 then '(all)' else source end as source, co
  count(*) filter (where st = 'downloaded') as downloaded, count(*) filter (where st = 'failed') as failed from a group by rollup (source)""")
 def run_summary(spark, d):
     """Totals of a run for each source and in all, in one pass."""
-    r = _records(spark, d)
-    out = r.rollup("source").agg(
-        F.grouping("source").alias("g"),
-        F.count("*").alias("records"),
-        F.count_if((F.col("decimal_latitude") != "") & (F.col("decimal_longitude") != "")).alias("located"),
-        F.count_if(F.col("image_url") != "").alias("pictured"),
-        F.count_if(type_token("type_status") != "").alias("types"),
-        F.count_if(F.col("download_status") == "downloaded").alias("downloaded"),
-        F.count_if(F.col("download_status") == "failed").alias("failed"),
-    )
-    return out.withColumn("source", F.when(F.col("g") == 1, "(all)").otherwise(F.col("source"))).drop("g")
+    return source_totals(_records(spark, d))
 
 
 @query("select event_id, coalesce(props ->> '$.page', '') as page, coalesce(props ->> '$.session', '') as session, coalesce(props ->> '$.missing', '') as missing from events")

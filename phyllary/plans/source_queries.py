@@ -55,15 +55,27 @@ def _pages(spark, d: str, body: Column) -> DataFrame:
     return records.select(F.lit("s").alias("source"), "query_name", F.col("seq").cast("int").alias("page_no"), F.lit("https://x.example/").alias("url"), body.alias("body"))
 
 
+#: Items of a landed page.
+ITEMS = 25
+
+
+def _listed_pages(spark, d: str, item: Column, head: str, tail: str) -> DataFrame:
+    """Pages of ITEMS records each, as sources deliver them."""
+    records = as_records(table(spark, d, "specimen_records"), "seq").withColumn("source_record_id", F.col("seq").cast("string"))
+    pages = records.groupBy(F.floor(F.col("seq") / ITEMS).cast("int").alias("page_no")).agg(F.array_sort(F.collect_list(F.struct("seq", item.alias("item")))).alias("items"))
+    body = F.concat(F.lit(head + "["), F.array_join(F.transform("items", lambda i: i["item"]), ","), F.lit("]" + tail))
+    return pages.select(F.lit("s").alias("source"), F.lit("").alias("query_name"), "page_no", F.lit("https://x.example/").alias("url"), body.alias("body"))
+
+
 def _json(name: str) -> Callable:
     adapter, path, fields = JSON[name]
 
     def run(spark, d: str) -> DataFrame:
         head = "".join(f'{{"{k}":' for k in path.split(".")) if path else ""
-        pages = _pages(spark, d, F.concat(F.lit(head + "["), _item(fields), F.lit("]" + "}" * (path.count(".") + 1 if path else 0))))
+        pages = _listed_pages(spark, d, _item(fields), head, "}" * (path.count(".") + 1 if path else 0))
         none = spark.createDataFrame([], "key string, body string")
         out = json_pages.jacq(pages, none, exact=False) if name == "jacq" else json_pages.cvh(pages, none) if name == "cvh" else adapter(pages)
-        return out.select(F.col("page_no").cast("long").alias("seq"), *fields)
+        return out.select(F.col("source_record_id").cast("long").alias("seq"), *fields)
 
     return run
 

@@ -55,6 +55,13 @@ def _v(*keys: str, row: str = "row") -> Column:
     return first_filled(*[F.trim(text(F.try_element_at(row, F.lit(k)))) for k in keys])
 
 
+def under_keys(core: DataFrame, media: DataFrame, row: list[str], keys: Column, aggregates: dict[str, Column], within: tuple[str, ...] = ()) -> DataFrame:
+    """What belongs to a row of core under any of its keys: the row's columns, k (place of the key) and the aggregates of the media under
+    it. Media (mid, and the columns within) are aggregated for each mid before the join, so that it has one row for each key of a row."""
+    per = media.groupBy(*within, "mid").agg(*[c.alias(n) for n, c in aggregates.items()])
+    return core.select(*row, F.posexplode(F.array_distinct(F.filter(keys, lambda k: k != ""))).alias("k", "mid")).join(per, [*within, "mid"])
+
+
 def dwca(rows: DataFrame, source: str, query_name: str, record_url: str = "", institution: str = "", image_license: str = "", rights_holder: str = "", occurrence: str = "occurrence.txt", multimedia: str = "multimedia.txt", exact: bool = True) -> DataFrame:
     """Records of an archive's occurrences for a query, each with the best of its images.
 
@@ -65,8 +72,9 @@ def dwca(rows: DataFrame, source: str, query_name: str, record_url: str = "", in
     if exact:
         core = core.where(name_matches("query_name", _v("scientificName")))
     media = rows.where(F.col("file") == multimedia).select("archive", F.col("row_no").alias("m_no"), _v("id", "coreid", "occurrenceID").alias("mid"), best_image(F.array(_v("identifier", "associatedMedia", "accessURI", "references"))).alias("m_url"), _v("license").alias("m_license"), _v("rightsHolder").alias("m_rights")).where("mid <> ''")
-    keys = core.select("archive", "row_no", F.posexplode(F.array_distinct(F.array("id", "oid"))).alias("k", "mid"))
-    per = keys.join(media, ["archive", "mid"]).groupBy("archive", "row_no").agg(F.array_sort(F.collect_list(F.struct("k", "m_no", "m_url", "m_license", "m_rights"))).alias("media"))
+    held = under_keys(core, media, ["archive", "row_no"], F.array("id", "oid"), {"ms": F.collect_list(F.struct("m_no", "m_url", "m_license", "m_rights"))}, ("archive",))
+    each = held.select("archive", "row_no", F.transform("ms", lambda m: F.struct(F.col("k"), m["m_no"].alias("m_no"), m["m_url"].alias("m_url"), m["m_license"].alias("m_license"), m["m_rights"].alias("m_rights"))).alias("ms"))
+    per = each.groupBy("archive", "row_no").agg(F.array_sort(F.flatten(F.collect_list("ms"))).alias("media"))
     r = core.join(per, ["archive", "row_no"], "left")
     held = F.coalesce("media", F.array().cast("array<struct<k:int,m_no:long,m_url:string,m_license:string,m_rights:string>>"))
     r = r.withColumn("media", held).withColumn("image", best_image(F.concat(F.array(_v("associatedMedia")), F.transform("media", lambda m: m["m_url"]))))

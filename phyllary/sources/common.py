@@ -67,15 +67,20 @@ def matching(records: DataFrame, *names: Column | str, exact: bool = True) -> Da
     return records.where(name_matches("query_name", *names)) if exact else records
 
 
-def page_of(records: DataFrame, offset: int = 0, limit: int | None = None, order: tuple[str, ...] = ("page_no", "item_no")) -> DataFrame:
-    """The records of each source and query from offset on, at most limit of them (a query's own limit), in the order they came."""
+def page_of(records: DataFrame, offset: int = 0, limit: int | None = None, order: tuple[str, ...] = ("page_no", "item_no"), number: str | None = None) -> DataFrame:
+    """The records of each source and query from offset on, at most limit of them (a query's own limit), in the order they came; number
+    names a column for their places from 1. With a limit every task keeps no more than that many of a query before they are shuffled,
+    however many it has."""
     n = F.row_number().over(Window.partitionBy("source", "query_name").orderBy(*order))
-    ranked = records.withColumn("__n", n).where(F.col("__n") > offset)
-    return (ranked if limit is None else ranked.where(F.col("__n") <= offset + limit)).drop("__n")
+    ranked = records.withColumn("__n", n)
+    if limit is not None:
+        ranked = ranked.where(F.col("__n") <= offset + limit)
+    ranked = ranked.where(F.col("__n") > offset)
+    return ranked.withColumn(number, F.col("__n").cast("long")).drop("__n") if number else ranked.drop("__n")
 
 
-def union_components(parts: list[DataFrame], source: str, limit: int | None = None) -> DataFrame:
+def union_components(parts: list[DataFrame], source: str, limit: int | None = None, order: tuple[str, ...] = ("page_no", "item_no"), number: str | None = None) -> DataFrame:
     """The components of a federated source in their order, under its name, with one limit for each query over all of them."""
     tagged = [p.withColumn("component", F.lit(i)) for i, p in enumerate(parts)]
     both = reduce(DataFrame.unionByName, tagged).withColumn("source", F.lit(source))
-    return page_of(both, 0, limit, ("component", "page_no", "item_no")).drop("component") if limit is not None else both.drop("component")
+    return page_of(both, 0, limit, ("component", *order), number).drop("component") if limit is not None else both.drop("component")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 
 from phyllary.functions.sphere import VantageTree, local_pairs, metres
+from phyllary.operators.environment import nearest_of_list
 from phyllary.operators.proximity import pairs_within
 
 
@@ -45,3 +46,17 @@ def test_no_places(spark):
     assert pairs_within(good.limit(0), good, "id", "id", ("lat", "lon"), ("lat", "lon"), 500.0).count() == 0
     same = pairs_within(good, good, "id", "id", ("lat", "lon"), ("lat", "lon"), 500.0)
     assert same.columns == ["id_left", "id_right"] and same.count() == 9
+
+
+def test_nearest_of_a_list_in_one_block_and_in_many(spark):
+    rng = np.random.default_rng(3)
+    at = rng.uniform([-89, -179], [89, 179], (700, 2)).round(1)
+    places = spark.createDataFrame([(i, float(a), float(o)) for i, (a, o) in enumerate(at)] + [(9000, None, 1.0), (9001, float(at[5, 0]), float(at[5, 1]))], "place_id long, latitude double, longitude double")
+    own = [(i, float(a), float(o)) for i, (a, o) in enumerate(rng.uniform([-89, -179], [89, 179], (300, 2)).round(1))] + [(1000, None, 5.0), (1001, float(at[5, 0]), float(at[5, 1]))]
+    df = spark.createDataFrame(own, "id long, a double, o double")
+    one, many = ({r.id: (r.nearest_id, r.nearest_m) for r in nearest_of_list(df, places, df.a, df.o, block_rows=n).collect()} for n in (500_000, 90))
+    assert one == many and one[1000] == (None, None) and one[1001] == (5, 0.0)
+    for i, a, o in own[:300]:
+        d = metres(*np.radians([a, o]), np.radians(at[:, 0]), np.radians(at[:, 1]))
+        assert one[i][0] == d.argmin() and abs(one[i][1] - d.min()) < 1e-6
+    assert nearest_of_list(df, places.limit(0), df.a, df.o).where("nearest_id is null").count() == len(own)
