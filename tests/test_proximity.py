@@ -60,3 +60,17 @@ def test_nearest_of_a_list_in_one_block_and_in_many(spark):
         d = metres(*np.radians([a, o]), np.radians(at[:, 0]), np.radians(at[:, 1]))
         assert one[i][0] == d.argmin() and abs(one[i][1] - d.min()) < 1e-6
     assert nearest_of_list(df, places.limit(0), df.a, df.o).where("nearest_id is null").count() == len(own)
+
+
+def test_crowded_cells_are_cut_by_space(spark):
+    """Cells cut by pivots of their own, and a quarter of all rows at one place, give all pairs once."""
+    rng = np.random.default_rng(11)
+
+    def side(n):
+        at = np.vstack([rng.normal([10, 20], 0.15, (n - n // 4, 2)), np.full((n // 4, 2), [10.0, 20.0])])
+        return at, spark.createDataFrame([(i, float(a), float(o)) for i, (a, o) in enumerate(at)], "id long, lat double, lon double")
+
+    (a, left), (b, right) = side(600), side(500)
+    right = right.withColumnRenamed("id", "other")
+    got = [tuple(r) for r in pairs_within(left, right, "id", "other", ("lat", "lon"), ("lat", "lon"), 900.0, pivots=2, block_rows=40).collect()]
+    assert len(got) == len(set(got)) and set(got) == _brute(a, b, 900.0)
