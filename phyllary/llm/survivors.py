@@ -15,7 +15,7 @@ from phyllary.functions.sphere import degrees
 from phyllary.llm.canonical import Reference, load_reference
 from phyllary.session import arrow_function, durable
 
-#: Distinct combinations of dependent values in a group up to which the group is searched in one task; larger ones are solved by joins.
+#: Rows of a group with dependent bundles up to which it is searched in one task; larger ones are solved by joins.
 GROUP_COMBINATIONS = 4096
 #: Texts that name no place.
 NO_PLACE = ["", "-", "--", "?", "illegible", "unknown", "no locality", "s.loc.", "s. loc.", "s.l.", "n/a", "na", "none", "not recorded", "no data", "not stated", "sine loco", "sin datos", "locality lost", "see label", "unlocalised", "unlocalized", "null"]
@@ -89,7 +89,7 @@ def branch_and_bound(candidates: Sequence[Sequence[tuple]], links: Sequence[tupl
 
     candidates: for each bundle its (gain, recent, -id); a bundle without any gets None. links: (x, y, allowed): bundle x's choice
     determines y's: the pair (id of x, id of y) must be in allowed, where (id of x, None) allows any y. Ties go to the larger
-    (recent, -id) bundle by bundle. None if no choice is consistent (then a bundle is left out by the caller).
+    (recent, -id) bundle by bundle. None if no choice is consistent, which dependencies that form a forest cannot bring about.
     """
     ordered = [sorted(c, reverse=True) for c in candidates]
     ahead = [0] * (len(ordered) + 1)
@@ -123,17 +123,38 @@ def branch_and_bound(candidates: Sequence[Sequence[tuple]], links: Sequence[tupl
     return best[1]
 
 
+def _lists(free, rows, bundles: int, links: list[tuple[int, int]]) -> tuple[list, list]:
+    """Candidates of each bundle, the best row of each distinct value, and the pairs of values that rows bear, for branch_and_bound.
+
+    free: the single best rows of bundles without dependency. rows: what each row of the group (id) gives for the dependent bundles, with
+    two hashes that stand for the value."""
+    lists: list = [[] for _ in range(bundles)]
+    for c in free if free is not None else []:
+        lists[c["b"]].append((c["gain"], c["recent"] or "", -c["id"]))
+    best: dict[tuple, tuple] = {}
+    held: dict[int, dict] = {}
+    for c in rows if rows is not None else []:
+        value, order = (c["b"], c["ha"], c["hb"]), (c["gain"], c["recent"] or "", -c["id"])
+        held.setdefault(c["id"], {})[c["b"]] = value
+        if value not in best or order > best[value]:
+            best[value] = order
+    borne = held.values()
+    for (b, _, _), order in best.items():
+        lists[b].append(order)
+    allowed = []
+    for x, y in links:
+        pairs = {(v[x], v.get(y)) for v in borne if x in v}
+        full = {a for a, b in pairs if b is not None}
+        # a value of x that no row bears with a value of y allows any
+        allowed.append((x, y, {(-best[a][2], None if b is None else -best[b][2]) for a, b in pairs if b is not None or a not in full}))
+    return lists, allowed
+
+
 def _solver(bundles: int, links: list[tuple[int, int]]):
-    def solve(candidates: pd.Series, pairs: pd.Series) -> pd.Series:
+    def solve(free: pd.Series, rows: pd.Series) -> pd.Series:
         out = []
-        for cs, ps in zip(candidates, pairs, strict=True):
-            lists: list = [[] for _ in range(bundles)]
-            for c in cs:
-                lists[c["b"]].append((c["gain"], c["recent"] or "", -c["id"]))
-            allowed: list = [set() for _ in links]
-            for p in ps if ps is not None else []:
-                allowed[p["d"]].add((p["x"], None if pd.isna(p["y"]) else int(p["y"])))
-            chosen = branch_and_bound(lists, [(x, y, allowed[d]) for d, (x, y) in enumerate(links)])
+        for fs, rs in zip(free, rows, strict=True):
+            chosen = branch_and_bound(*_lists(fs, rs, bundles, links))
             out.append([None if not c else -c[2] for c in chosen or [None] * bundles])
         return pd.Series(out, dtype=object)
 
@@ -150,8 +171,8 @@ def choose_survivors(
     the greatest text in recent, then the smallest key: that row is in every optimum, so only it goes to the search. A dependency
     (x, y) says that the values of bundle x determine those of y: the chosen pair must be borne by a row of the group, or x's values
     by no row with usable values of y. Such bundles are chosen together, by branch and bound over the group's distinct values, so
-    that the summed gains are highest, ties bundle by bundle as above. Groups with more than combinations distinct combinations are
-    solved exactly by joins instead. Dependencies must form a forest in which each bundle is determined by at most one other.
+    that the summed gains are highest, ties bundle by bundle as above. Groups of more than combinations rows are solved exactly by
+    joins instead. Dependencies must form a forest in which each bundle is determined by at most one other.
 
     Rows with a null in a group column belong to no group; keys must be distinct and not null. An empty df gives an empty result.
     """
@@ -168,37 +189,41 @@ def choose_survivors(
     tr = F.coalesce(F.col(trust).cast("long"), F.lit(999_999))
     orders = [F.when(b.usable, F.struct((n.cast("long") * 1_000_000 - tr).alias("gain"), F.coalesce(F.col(recent).cast("string"), F.lit("")).alias("recent"), (-F.col(key)).alias("k"))) for b, n in zip(bundles, filled, strict=True)]
     work = rows.select(*g, F.col(key).alias("__key"), *[o.alias(f"__o{i}") for i, o in enumerate(orders)], *[F.when(b.usable, F.struct(*[F.col(c) for c in b.columns])).alias(f"__v{i}") for i, b in enumerate(bundles) if i in linked])
-    top = work.groupBy(*g).agg(F.min("__key").alias("group_seq"), F.count("*").alias("group_size"), *[F.max(f"__o{i}").alias(f"__t{i}") for i in range(len(bundles))]).where("group_size > 1")
+    order = sorted(linked)
+    free = [i for i in range(len(bundles)) if i not in linked]
 
-    def candidate(i: int, o: Column) -> Column:
-        return F.struct(F.lit(i).alias("b"), o["gain"].alias("gain"), o["recent"].alias("recent"), (-o["k"]).alias("id"))
+    def candidate(i: int, o: Column) -> list[Column]:
+        return [F.lit(i).alias("b"), o["gain"].alias("gain"), o["recent"].alias("recent"), (-o["k"]).alias("id")]
 
-    free = [i for i in range(len(bundles)) if i not in linked]
-    own = F.filter(F.array(*[F.when(F.col(f"__t{i}").isNotNull(), candidate(i, F.col(f"__t{i}"))) for i in free]), lambda c: c.isNotNull()) if free else None
-    if not deps:
-        solved = top.withColumn("__c", _solver(len(bundles), [])(own, F.lit(None).cast("array<struct<d:int,x:long,y:long>>")))
-        return solved.select(*g, "group_seq", "group_size", *[F.get("__c", i).alias(f"{names[i]}_seq") for i in range(len(bundles))])
+    def solved(groups: DataFrame, rows: Column) -> DataFrame:
+        own = F.filter(F.array(*[F.when(F.col(f"__t{i}").isNotNull(), F.struct(*candidate(i, F.col(f"__t{i}")))) for i in free]), lambda c: c.isNotNull()) if free else F.lit(None).cast("array<struct<b:int,gain:long,recent:string,id:long>>")
+        out = groups.withColumn("__c", _solver(len(bundles), deps)(own, rows))
+        return out.select(*g, "group_seq", "group_size", *[F.get("__c", i).alias(f"{names[i]}_seq") for i in range(len(bundles))])
 
-    # the best row of each distinct value stands for the value
-    order = sorted(linked)
-    combos = work.groupBy(*g, *[f"__v{i}" for i in order]).agg(*[F.max(f"__o{i}").alias(f"__o{i}") for i in order])
+    main = [F.min("__key").alias("group_seq"), F.count("*").alias("group_size"), *[F.max(f"__o{i}").alias(f"__t{i}") for i in free]]
+    if not deps:
+        return solved(work.groupBy(*g).agg(*main).where("group_size > 1"), F.lit(None).cast("array<struct<b:int,ha:long,hb:long,gain:long,recent:string,id:long>>"))
+
+    # at most one group for every so many rows
+    large = durable(work.groupBy(*g).count().where(F.col("count") > combinations).select(*g))
+    none = large.isEmpty()
+    small = work if none else work.join(F.broadcast(large), g, "left_anti")
+    # what a row gives for the dependent bundles; values go as two hashes of 64 bits each
+    given = F.filter(F.array(*[F.when(F.col(f"__o{i}").isNotNull(), F.struct(F.lit(i).alias("b"), F.xxhash64(f"__v{i}").alias("ha"), F.xxhash64(f"__v{i}", F.lit("2")).alias("hb"), *candidate(i, F.col(f"__o{i}"))[1:])) for i in order]), lambda c: c.isNotNull())
+    grouped = small.groupBy(*g).agg(*main, F.flatten(F.collect_list(given)).alias("__rows")).where("group_size > 1")
+    one = solved(grouped, F.col("__rows"))
+    if none:
+        return one
+
+    # groups of more rows are solved by joins; the best row of each distinct value stands for the value
+    crowd = work.join(F.broadcast(large), g, "left_semi")
+    top = crowd.groupBy(*g).agg(*main)
+    combos = crowd.groupBy(*g, *[f"__v{i}" for i in order]).agg(*[F.max(f"__o{i}").alias(f"__o{i}") for i in order])
     for i in order:
         best = combos.where(F.col(f"__v{i}").isNotNull()).groupBy(*g, f"__v{i}").agg(F.max(f"__o{i}").alias(f"__b{i}"))
         combos = combos.join(best, [combos[c].eqNullSafe(best[c]) for c in [*g, f"__v{i}"]], "left").select(combos["*"], best[f"__b{i}"])
     combos = durable(combos.select(*g, *[F.col(f"__b{i}") for i in order]))
-    large = combos.groupBy(*g).count().where(F.col("count") > combinations).select(*g)
-    small = combos.join(large, g, "left_anti")
-    cands = F.array_distinct(F.flatten(F.collect_list(F.array(*[F.when(F.col(f"__b{i}").isNotNull(), candidate(i, F.col(f"__b{i}"))) for i in order]))))
-    pairs = F.flatten(
-        F.collect_list(F.array(*[F.when(F.col(f"__b{x}").isNotNull(), F.struct(F.lit(d).alias("d"), (-F.col(f"__b{x}.k")).alias("x"), (-F.col(f"__b{y}.k")).alias("y"))) for d, (x, y) in enumerate(deps)]))
-    )
-    searched = small.groupBy(*g).agg(F.filter(cands, lambda c: c.isNotNull()).alias("__l"), pairs.alias("__p"))
-    # (x, null) allows any y only if no row bears x with a usable y
-    lone = F.filter("__p", lambda p: p.isNotNull() & (p["y"].isNotNull() | ~F.exists("__p", lambda q: (q["d"] == p["d"]) & (q["x"] == p["x"]) & q["y"].isNotNull())))
-    searched = searched.withColumn("__p", lone)
-    all_c = F.concat(own, F.col("__l")) if own is not None else F.col("__l")
-    one = top.join(searched, g).withColumn("__c", _solver(len(bundles), deps)(all_c, F.col("__p"))).select(*g, "group_seq", "group_size", *[F.get("__c", i).alias(f"{names[i]}_seq") for i in range(len(bundles))])
-    two = _by_joins(combos.join(large, g, "left_semi"), g, order, deps)
+    two = _by_joins(combos, g, order, deps)
     two = top.join(two, g).select(*g, "group_seq", "group_size", *[(F.col(f"__k{i}") if i in linked else -F.col(f"__t{i}.k")).alias(f"{names[i]}_seq") for i in range(len(bundles))])
     return one.unionByName(two)
 
