@@ -71,8 +71,8 @@ def difference(sizes: Sequence[int], k: int) -> list[list[int]]:
 def pack(sizes: Sequence[int], capacity: int) -> list[int]:
     """The window of each item: as few windows of at most capacity as differencing finds. Sizes must not exceed the capacity.
 
-    The window count starts at the least possible and rises as long as a window is too full; the rise follows the overflow, then the
-    counts between the last failure and the first success are tried by halving.
+    The window count starts at the least possible and rises as long as a window is too full; the rise follows the overflow and is at
+    least twice the one before, then the counts between the last failure and the first success are tried by halving.
     """
     held = np.asarray(sizes, np.int64)
     if not len(held):
@@ -83,10 +83,11 @@ def pack(sizes: Sequence[int], capacity: int) -> list[int]:
         return windows, int(np.maximum(np.bincount(windows, weights=held, minlength=k).astype(np.int64) - capacity, 0).sum())
 
     k = max(1, -(-int(held.sum()) // capacity))
-    failed, (windows, over) = k - 1, attempt(k)
+    failed, (windows, over), rise = k - 1, attempt(k), 0
     while over:
         failed = k
-        k += max(1, -(-over // capacity))
+        rise = max(1, 2 * rise, -(-over // capacity))
+        k += rise
         windows, over = attempt(k)
     while k - failed > 1:
         mid = (k + failed) // 2
