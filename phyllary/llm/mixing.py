@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phyllary.session import durable
 
-#: Blocks in the schedule at most: a block is this part of the mixture. Bounds what the driver makes and what is broadcast.
+#: Blocks in the schedule at most. Bounds what the driver makes and what is broadcast; a mixture of more blocks repeats the schedule.
 SLOTS = 32_768
-#: Parts that each source is cut into, by hash, to sum its sizes without any task holding a source.
-PARTS = 1024
+#: Size of a block at most (in tokens); mixtures of fewer than SLOTS of them have smaller blocks.
+BLOCK = 65_536
+#: Items of a part, and parts of a source at least: each source is cut by hash to sum its sizes without any task holding a source. Parts
+#: of all sources at most, which the driver sums up.
+PART_ITEMS, PARTS, MOST_PARTS = 1_000_000, 1024, 4_000_000
 #: As total: the size of all items of the sources that can give some.
 LISTED = "listed"
 
@@ -44,7 +48,7 @@ def fair_schedule(shares: dict[str, float], slots: int) -> list[tuple[str, int]]
     return out
 
 
-def mix_sources(items: DataFrame, key: str, source: str, size: str, targets: DataFrame, total: int | str | None = None, slots: int = SLOTS, parts: int = PARTS) -> DataFrame:
+def mix_sources(items: DataFrame, key: str, source: str, size: str, targets: DataFrame, total: int | str | None = None, slots: int = SLOTS, parts: int | None = None, block: int = BLOCK) -> DataFrame:
     """The mixture: key, source, repeat (from 0), size, slot and slot_start (the item's first token counted inside its source's
     stream); in order of (slot, slot_start) it is the interleaved stream.
 
@@ -52,6 +56,8 @@ def mix_sources(items: DataFrame, key: str, source: str, size: str, targets: Dat
     with items count; their shares are scaled to sum to 1. total: the size of the mixture; by default the largest at which every
     such source fills its share with at most max_repeats uses of each item; LISTED is the size of all their items. With a larger total,
     short sources give what they have, max_repeats uses of each item, and the stream is interleaved by the shares that are reached.
+    A block is at most `block` large: a mixture of more than slots blocks goes through the schedule several times, each time with the same
+    part of every source's quota. parts: into how many each source is cut, by default as many as its items ask for.
     Every pass over a source takes its items in the same hash order; the last pass takes the items whose middle lies within the quota,
     so a source misses its quota by at most half an item. Items with null key, null or unlisted source, or size null, 0 or less are left
     out. Ties and repeated rows are items each. No items, or no shares above 0, give an empty result.
@@ -61,8 +67,10 @@ def mix_sources(items: DataFrame, key: str, source: str, size: str, targets: Dat
     schema = f"`{key}` {kind}, source string, repeat long, size long, slot long, slot_start long"
     wanted = {r["source"]: (float(r["target_share"]), max(int(r["max_repeats"] or 0), 0)) for r in targets.select("source", "target_share", "max_repeats").collect() if r["source"] is not None and (r["target_share"] or 0) > 0}
     rows = items.select(F.col(key).alias("__key"), F.col(source).alias("__source"), F.col(size).cast("long").alias("__size")).where("__size > 0 and __key is not null").where(F.col("__source").isin(list(wanted) or [""]))
-    rows = rows.withColumn("__hash", F.xxhash64("__key", "__size", F.lit(9))).withColumn("__part", F.pmod("__hash", F.lit(parts)).cast("int"))
-    rows = durable(rows)
+    rows = durable(rows.withColumn("__hash", F.xxhash64("__key", "__size", F.lit(9))))
+    if parts is None:
+        parts = min(max(PARTS, -(-rows.count() // PART_ITEMS)), max(1, MOST_PARTS // max(1, len(wanted))))
+    rows = rows.withColumn("__part", F.pmod("__hash", F.lit(parts)).cast("int"))
     # at most parts rows for each listed source
     sums = rows.groupBy("__source", "__part").agg(F.sum("__size").alias("s"))
     got = sums.collect()
@@ -81,7 +89,8 @@ def mix_sources(items: DataFrame, key: str, source: str, size: str, targets: Dat
     quota = {s: min(share[s] * asked, float(held[s] * live[s][1])) for s in live}
     # what the sources give: less than asked where some are short
     whole = min(asked, math.ceil(math.fsum(quota.values()) - 1e-6))
-    unit = max(-(-whole // slots), 1)
+    rounds = max(1, -(-whole // (slots * block)))
+    places = min(slots, max(1, -(-whole // rounds)))
     # where each part begins in its source's pass
     begins, at = [], {}
     for r in sorted(got, key=lambda r: (r["__source"], r["__part"])):
@@ -89,18 +98,22 @@ def mix_sources(items: DataFrame, key: str, source: str, size: str, targets: Dat
             begins.append((r["__source"], r["__part"], at.get(r["__source"], 0)))
             at[r["__source"]] = at.get(r["__source"], 0) + r["s"]
     starts = F.broadcast(spark.createDataFrame(begins, "__source string, __part int, __begin long"))
-    limits = F.broadcast(spark.createDataFrame([(s, float(quota[s]), held[s], math.ceil(quota[s] / held[s] - 1e-12)) for s in live], "__source string, __quota double, __held long, __passes int"))
-    schedule = fair_schedule(quota, math.ceil(whole / unit) + len(live))
-    slot_of = F.broadcast(spark.createDataFrame([(s, j, t) for t, (s, j) in enumerate(schedule)], "__source string, __block long, slot long"))
+    schedule = fair_schedule(quota, places)
+    own = Counter(s for s, _ in schedule)
+    # a source without a block of its own shares the last place
+    units = {s: quota[s] / (max(own[s], 1) * rounds) for s in live}
+    limits = F.broadcast(spark.createDataFrame([(s, float(quota[s]), held[s], math.ceil(quota[s] / held[s] - 1e-12), units[s], max(own[s], 1)) for s in live], "__source string, __quota double, __held long, __passes int, __unit double, __blocks int"))
+    slot_of = F.broadcast(spark.createDataFrame([(s, j, t) for t, (s, j) in enumerate(schedule)], "__source string, __block long, __slot long"))
     within = Window.partitionBy("__source", "__part").orderBy("__hash", "__key").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("__before", F.coalesce(F.sum("__size").over(within), F.lit(0))).join(starts, ["__source", "__part"]).join(limits, "__source")
     placed = placed.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.col("__passes") - 1)))
     placed = placed.withColumn("slot_start", F.col("repeat") * F.col("__held") + F.col("__begin") + F.col("__before")).where(F.col("slot_start") + F.col("__size") / 2 <= F.col("__quota"))
-    # an item belongs to the block in which its middle lies
-    block = F.floor((F.col("slot_start") + F.col("__size") / 2) / F.lit(unit))
-    out = placed.withColumn("__block", block).join(slot_of, ["__source", "__block"], "left")
-    end = len(schedule)
-    return out.select(F.col("__key").alias(key), F.col("__source").alias("source"), F.col("repeat").cast("long").alias("repeat"), F.col("__size").alias("size"), F.coalesce("slot", F.lit(end)).cast("long").alias("slot"), F.col("slot_start").cast("long").alias("slot_start"))
+    # an item belongs to the block in which its middle lies, of the round in which that lies
+    middle = F.floor((F.col("slot_start") + F.col("__size") / 2) / F.col("__unit")).cast("long")
+    placed = placed.withColumn("__round", F.least(F.floor(middle / F.col("__blocks")), F.lit(rounds - 1)).cast("long"))
+    out = placed.withColumn("__block", F.least(middle - F.col("__round") * F.col("__blocks"), F.col("__blocks") - 1).cast("long")).join(slot_of, ["__source", "__block"], "left")
+    slot = F.col("__round") * F.lit(len(schedule)) + F.coalesce("__slot", F.lit(len(schedule) - 1))
+    return out.select(F.col("__key").alias(key), F.col("__source").alias("source"), F.col("repeat").cast("long").alias("repeat"), F.col("__size").alias("size"), slot.cast("long").alias("slot"), F.col("slot_start").cast("long").alias("slot_start"))
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -27,3 +27,20 @@ def test_totals(spark):
     assert Counter(r.source for r in mixed) == {"big": 28, "small": 2}
     assert Counter(r.source for r in mix_sources(items, "doc_id", "source", "n", targets, total=5000).collect()) == {"big": 100, "small": 2}
     assert mix_sources(items, "doc_id", "source", "n", targets, total=0).count() == 0
+
+
+def test_schedules_repeat_and_stay_fair(spark):
+    """With small blocks the schedule is gone through many times; at every place each source is near its share."""
+    rows = [(i, "a", 3 + i % 5) for i in range(3000)] + [(10_000 + i, "b", 2 + i % 3) for i in range(3000)] + [(20_000 + i, "c", 4) for i in range(900)]
+    items = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 2), ("c", 0.2, 3)], "source string, target_share double, max_repeats int")
+    mixed = mix_sources(items, "doc_id", "source", "n", targets, total=12_000, slots=20, block=50, parts=7)
+    got = sorted(mixed.collect(), key=lambda r: (r.slot, r.slot_start))
+    assert max(r.slot for r in got) >= 200 and len({(r.doc_id, r.repeat) for r in got}) == len(got)
+    total, own = 0, {"a": 0, "b": 0, "c": 0}
+    for r in got:
+        total += r["size"]
+        own[r.source] += r["size"]
+        assert all(abs(own[s] - w * total) < 2 * 50 + 8 for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
+    again = mix_sources(items, "doc_id", "source", "n", targets, total=12_000, slots=20, block=50, parts=1)
+    assert abs(sum(r["size"] for r in again.collect()) - total) < 40
