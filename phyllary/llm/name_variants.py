@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phyllary.functions.vectorised import vectorised
-from phyllary.llm.names import ALIKE, BAND_ROWS, RECALL, TARGET, bands_for, formal, name_similarity, one_edit, parse_name
+from phyllary.llm.names import ALIKE, BAND_ROWS, EDITS, RECALL, TARGET, bands_for, formal, name_similarity, parse_name, within_edits
 from phyllary.session import arrow_function, broadcast_if_small, durable
 
 
@@ -49,14 +49,18 @@ def _bands(n: int, rows: int):
     return arrow_function(bands, "array<long>")
 
 
-@vectorised("double")
-def _similar(kind: pd.Series, ma: pd.Series, oa: pd.Series, mb: pd.Series, ob: pd.Series) -> pd.Series:
-    return pd.Series([name_similarity(k, a, list(x), b, list(y)) for k, a, x, b, y in zip(kind, ma, oa, mb, ob, strict=True)], dtype="float64")
+def _similar(edits: int):
+    def similar(kind: pd.Series, ma: pd.Series, oa: pd.Series, mb: pd.Series, ob: pd.Series) -> pd.Series:
+        return pd.Series([name_similarity(k, a, list(x), b, list(y), edits) for k, a, x, b, y in zip(kind, ma, oa, mb, ob, strict=True)], dtype="float64")
 
+    return arrow_function(similar, "double")
 
-@vectorised("boolean")
-def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([min(len(x), len(y)) >= 4 and one_edit(x, y) for x, y in zip(a, b, strict=True)], dtype="boolean")
+
+def _near(edits: int):
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([min(len(x), len(y)) >= 4 and within_edits(x, y, edits) for x, y in zip(a, b, strict=True)], dtype="boolean")
+
+    return arrow_function(near, "boolean")
 
 
 def parsed_names(names: DataFrame) -> DataFrame:
@@ -73,19 +77,20 @@ def parsed_names(names: DataFrame) -> DataFrame:
     return p.where("form <> 'free'").select("name", "n", "kind", "main", "others").unionByName(settled).where("main <> '' and size(others) > 0")
 
 
-def name_links(parsed: DataFrame, target: float = TARGET, recall: float = RECALL, rows: int = BAND_ROWS, alike: float = ALIKE) -> DataFrame:
+def name_links(parsed: DataFrame, target: float = TARGET, recall: float = RECALL, rows: int = BAND_ROWS, alike: float = ALIKE, edits: int = EDITS) -> DataFrame:
     """Links between spellings that may be the same: name_a, name_b (name_a smaller), similarity. Candidates share a band of the
-    MinHash of their main parts' padded bigrams, and an initial; each is verified."""
+    MinHash of their main parts' padded bigrams, and an initial; each is verified. Main parts may differ by so many edits; with more than
+    one, target should be lower, as two edits leave fewer bigrams in common."""
     keyed = durable(parsed.withColumn("key", F.explode(_keys("kind", "others"))))
     mains = keyed.select("kind", "key", "main").distinct()
     banded = mains.withColumn("band", F.explode(_bands(bands_for(target, recall, rows), rows)("main")))
     a, b = banded.select("kind", "key", "band", F.col("main").alias("ma")), banded.select("kind", "key", "band", F.col("main").alias("mb"))
-    near = a.join(b, ["kind", "key", "band"]).where("ma < mb and abs(length(ma) - length(mb)) <= 1").select("kind", "key", "ma", "mb").distinct().where(_near("ma", "mb"))
+    near = a.join(b, ["kind", "key", "band"]).where(f"ma < mb and abs(length(ma) - length(mb)) <= {int(edits)}").select("kind", "key", "ma", "mb").distinct().where(_near(edits)("ma", "mb"))
     both = near.unionByName(near.select("kind", "key", F.col("mb").alias("ma"), F.col("ma").alias("mb"))).unionByName(mains.select("kind", "key", F.col("main").alias("ma"), F.col("main").alias("mb")))
     left = keyed.select("kind", "key", F.col("main").alias("ma"), F.col("others").alias("oa"), F.col("name").alias("name_a"))
     right = keyed.select("kind", "key", F.col("main").alias("mb"), F.col("others").alias("ob"), F.col("name").alias("name_b"))
     pairs = left.join(both, ["kind", "key", "ma"]).join(right, ["kind", "key", "mb"]).where("name_a < name_b").dropDuplicates(["name_a", "name_b"])
-    return pairs.withColumn("similarity", _similar("kind", "ma", "oa", "mb", "ob")).where(F.col("similarity") >= alike).select("name_a", "name_b", "similarity")
+    return pairs.withColumn("similarity", _similar(edits)("kind", "ma", "oa", "mb", "ob")).where(F.col("similarity") >= alike).select("name_a", "name_b", "similarity")
 
 
 def star_clusters(names: DataFrame, links: DataFrame) -> DataFrame:

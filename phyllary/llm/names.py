@@ -26,6 +26,9 @@ EVERYDAY = {
 #: Similarity that candidates' main parts are to be found at, the share to be found, and rows of a band.
 TARGET, RECALL, BAND_ROWS = 0.4, 0.985, 3
 ALIKE = 0.9
+#: Edits by which a main part or a given name may differ. One is what typing brings about; two links transliterations, and more people who
+#: are not the same.
+EDITS = 1
 
 FORMAL: dict[str, tuple[str, ...]] = {}
 for _formal, _names in EVERYDAY.items():
@@ -107,12 +110,33 @@ def one_edit(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :]
 
 
+@lru_cache(200_000)
+def within_edits(a: str, b: str, k: int) -> bool:
+    """Whether a becomes b by 1 to k insertions, deletions, substitutions or swaps of neighbours."""
+    if k == 1:
+        return one_edit(a, b)
+    if a == b or abs(len(a) - len(b)) > k:
+        return False
+    # rows of the distance table, within k of the diagonal
+    before, last = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i] + [k + 1] * len(b)
+        for j in range(max(1, i - k), min(len(b), i + k) + 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != b[j - 1]))
+            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
+                row[j] = min(row[j], before[j - 2] + 1)
+        if min(row) > k:
+            return False
+        before, last = last, row
+    return last[-1] <= k
+
+
 def formal(name: str) -> tuple[str, ...]:
     return FORMAL.get(name, ()) + (name,)
 
 
-def token_similarity(a: str, b: str) -> float:
-    """1 for equal tokens; less for an everyday form, an initial or a beginning, and one edit; 0 for others."""
+def token_similarity(a: str, b: str, edits: int = EDITS) -> float:
+    """1 for equal tokens; less for an everyday form, an initial or a beginning, and few edits; 0 for others."""
     if a == b:
         return 1.0
     if min(len(a), len(b)) <= 2:
@@ -122,10 +146,10 @@ def token_similarity(a: str, b: str) -> float:
         return 0.97
     if min(len(a), len(b)) >= 3 and (a.startswith(b) or b.startswith(a)) and abs(len(a) - len(b)) > 1:
         return 0.93
-    if min(len(a), len(b)) >= 4 and one_edit(a, b):
+    if min(len(a), len(b)) >= 4 and within_edits(a, b, edits):
         return 0.92
     for x, y in ((a, b), (b, a)):
-        if any(f != x and len(y) >= 4 and one_edit(f, y) for f in formal(x)):
+        if any(f != x and len(y) >= 4 and within_edits(f, y, edits) for f in formal(x)):
             return 0.91
     return 0.0
 
@@ -145,18 +169,18 @@ def monge_elkan(a: list[str], b: list[str], similarity=token_similarity) -> floa
     return sum(max(similarity(x, y) for y in b) for x in a) / len(a) if a and b else 0.0
 
 
-def name_similarity(kind: str, main_a: str, others_a: list[str], main_b: str, others_b: list[str]) -> float:
+def name_similarity(kind: str, main_a: str, others_a: list[str], main_b: str, others_b: list[str], edits: int = EDITS) -> float:
     """Monge-Elkan similarity of two parsed names, 0 where main parts, first given names or further initials speak against each other."""
-    main = 1.0 if main_a == main_b else 0.92 if min(len(main_a), len(main_b)) >= 4 and one_edit(main_a, main_b) else 0.0
+    main = 1.0 if main_a == main_b else 0.92 if min(len(main_a), len(main_b)) >= 4 and within_edits(main_a, main_b, edits) else 0.0
     if not main or not others_a or not others_b:
         return main if main and kind == "b" and not others_a and not others_b else 0.0
     if kind == "b":
         return (main + min(monge_elkan(others_a, others_b, shortened), monge_elkan(others_b, others_a, shortened))) / 2 if len(others_a) == len(others_b) else 0.0
-    first = token_similarity(others_a[0], others_b[0])
+    first = token_similarity(others_a[0], others_b[0], edits)
     if not first:
         return 0.0
     for x, y in zip(others_a[1:], others_b[1:], strict=False):
-        if not token_similarity(x, y):
+        if not token_similarity(x, y, edits):
             return 0.0
     short, long = sorted(([*others_a], [*others_b]), key=len)
-    return (main + monge_elkan(short, long)) / 2
+    return (main + monge_elkan(short, long, lambda x, y: token_similarity(x, y, edits))) / 2

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phyllary.llm.canonical import map_to_list
+from phyllary.llm.canonical import entries_within, map_to_list
 from phyllary.llm.mixing import LISTED, mix_report, mix_sources
 from phyllary.llm.name_variants import link_names, variant_pairs
 from phyllary.llm.packing import pack_items, packing_report
@@ -81,6 +81,14 @@ def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return mapped.where("map_status in ('none', 'ambiguous')").groupBy("field_name", "field_text", "map_status").agg(F.count("*").alias("n"))
 
 
+def p7_within(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry within the distance of each typed value: how many records have the value."""
+    records, entries = table(spark, d, "specimen_records"), table(spark, d, "canonical_entries")
+    typed = records.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("field_text")) for c in PLACE_FIELDS])).alias("f")).select("f.*").groupBy("field_name", "field_text").agg(F.count("*").alias("n"))
+    parts = [entries_within(typed.where(F.col("field_name") == c), "field_text", k, entries) for c, k in PLACE_FIELDS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     """Documents with their size in tokens; each text is encoded once."""
     return durable(spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")))
@@ -108,5 +116,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(spread(table(spark, d, "documents").select("doc_id", "text", "lang")), "doc_id", "text", lang="lang")
 
 
-QUERIES = {"p6_found": p6_found, "p6_clusters": p6_clusters, "p4_found": p4_found, "p4_bundles": p4_bundles, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found}
+QUERIES = {"p6_found": p6_found, "p6_clusters": p6_clusters, "p4_found": p4_found, "p4_bundles": p4_bundles, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p7_within": p7_within, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found}
 SQL: dict[str, str] = {}

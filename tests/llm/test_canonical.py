@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from phyllary.llm.canonical import Automaton, Reference, Trie, allowed, load_reference, map_to_list
+from phyllary.llm.canonical import Automaton, Reference, Trie, allowed, entries_within, load_reference, map_to_list
 
 ROWS = [
     (1, "country", "Quillaria", "QLR", None, None), (2, "country", "Côte Amarine", "CAM", None, "Amarine Coast"), (3, "country", "Suvanto", "SVT", None, None),
@@ -76,3 +76,10 @@ def test_rows(spark):
 
 def test_allowed_grows_with_length():
     assert [allowed(n) for n in (3, 4, 5, 11, 12)] == [0, 0, 1, 1, 2]
+
+
+def test_all_entries_within_the_distance(spark):
+    entries = spark.createDataFrame([(1, "country", "Norlandia", "NL", None, "Norlanda"), (2, "country", "Morlandia", "MO", None, None), (3, "country", "Elsewhere", "EL", None, None)], "entry_id long, kind string, entry_name string, entry_code string, parent_id long, aliases string")
+    df = spark.createDataFrame([(1, "Norlandia"), (2, "norlandi"), (3, "nowhere at all"), (4, None), (5, " "), (1, "Norlandia")], "id int, t string").selectExpr("*", "'x' as distance")
+    got = sorted((r.id, r.entry_id, r.distance) for r in entries_within(df, "t", "country", entries).collect())
+    assert got == [(1, 1, 0), (1, 1, 0), (1, 2, 1), (1, 2, 1), (2, 1, 1)] and entries_within(df.limit(0), "t", "country", entries).count() == 0

@@ -3,9 +3,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from phyllary.llm.name_variants import link_names, name_links, parsed_names, star_clusters, variant_pairs
-from phyllary.llm.names import bands_for, name_similarity, one_edit, parse_name
+from phyllary.llm.names import bands_for, name_similarity, one_edit, parse_name, within_edits
 
 SAME = [
     ("Theodor B. Larkseimholm", "LARKSEIMHOLM, T."), ("Larkseimholm, Theodor B.", "T. Larkseimolm"), ("Paco Dreildguostra", "Dreildguostra, F."), ("Dr. F. Stoseilholm", "Francisco Stoseilholm"), ("Tulstaross U.A.", "Ursula Tulstaross"), ("Thedoor Breldmaanda", "Theodor Breldmaanda"),
@@ -86,3 +87,11 @@ def test_star_centers_are_not_linked(spark):
     centers = set(got.values())
     assert all(got[c] == c for c in centers) and not any(a in centers and b in centers for a, b in edges)
     assert all(x == c or tuple(sorted((x, c))) in edges for x, c in got.items())
+
+
+def test_more_edits_link_transliterations(spark):
+    assert within_edits("tchaikovsky", "chaikovski", 2) and not within_edits("tchaikovsky", "chaikovski", 1) and within_edits("abcd", "badc", 2) and not within_edits("abcd", "wxyz", 3) and not within_edits("same", "same", 2)
+    df = spark.createDataFrame([("P. Tchaikovsky", 3), ("P. Chaikovski", 1), ("Ole Hansen", 2), ("Ola Hanssen", 1), ("P. Mussorgsky", 1)], "name string, n long")
+    links = {c: [r.name for r in link_names(df, target=0.3, edits=2).where(F.col("center") == c).collect()] for c in ("P. Tchaikovsky", "Ole Hansen")}
+    assert set(links["P. Tchaikovsky"]) == {"P. Tchaikovsky", "P. Chaikovski"}
+    assert {r.name for r in link_names(df).where("name <> center").collect()} == set()
