@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phyllary.functions.coordinates import haversine_km, is_wgs84
 from phyllary.functions.sphere import degrees, usable_place
 from phyllary.functions.text import text
+from phyllary.operators.ranks import numbered
 
 ROUTE_WORDS = r"(?iU)\b(?:trail|path|road|route|track|railway|rail)\b|登山|步道|林道|古道"
 #: Highest uncertainty in metres, and lowest score, with which a tier's candidates count in robust mode (fixed values).
@@ -22,7 +23,8 @@ def union_candidates(*parts: DataFrame) -> DataFrame:
 
 
 def with_rank(candidates: DataFrame, record: str, *order: str, name: str = "candidate_rank") -> DataFrame:
-    return candidates.withColumn(name, F.row_number().over(Window.partitionBy(record).orderBy(*order)).cast("long"))
+    """candidates with their place in their record's order, from 1; records of any number of candidates are numbered."""
+    return numbered(candidates, [record], order, name)
 
 
 def score_number() -> Column:
@@ -96,13 +98,15 @@ def anchor_rank(candidates: DataFrame, record: str, order: str, environment_only
         level = level.when(kind == "refined_georeference", 1).when(kind == "place_centroid", 0)
     lat, lon = degrees(F.col("candidate_latitude")), degrees(F.col("candidate_longitude"))
     ok = candidates.withColumn("__level", level).where(text("candidate_source").startswith("llm:") & (text("source_urls") != "") & F.col("__level").isNotNull() & lat.between(-90, 90) & lon.between(-180, 180))
-    window = Window.partitionBy(record).orderBy(F.desc("__level"), F.desc(score_number()), uncertainty_number(), order)
-    return ok.withColumn("anchor_rank", F.row_number().over(window).cast("long")).drop("__level")
+    ok = ok.withColumn("__score", -score_number()).withColumn("__unc", uncertainty_number()).withColumn("__level", -F.col("__level"))
+    return numbered(ok, [record], ["__level", "__score", "__unc", order], "anchor_rank").drop("__level", "__score", "__unc")
 
 
 def first_without_veto(anchors: DataFrame, record: str, veto: Column) -> DataFrame:
     """anchors (with anchor_rank) with anchor_state: used for the first one without veto, ecological_conflict for those before it,
-    untouched for the rest. The veto of an anchor depends on that anchor alone, so one window replaces trying one after another."""
-    first = F.min(F.when(~veto, F.col("anchor_rank"))).over(Window.partitionBy(record))
+    untouched for the rest. The veto of an anchor depends on that anchor alone, so one minimum with partial aggregation replaces trying
+    one after another."""
+    firsts = anchors.groupBy(record).agg(F.min(F.when(~veto, F.col("anchor_rank"))).alias("__first"))
+    anchors, first = anchors.join(firsts, record), F.col("__first")
     state = F.when(F.col("anchor_rank") == first, "used").when(first.isNull() | (F.col("anchor_rank") < first), "ecological_conflict").otherwise("untouched")
-    return anchors.withColumn("anchor_state", state)
+    return anchors.withColumn("anchor_state", state).drop("__first")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phyllary.functions.coordinates import rounded_elevation
@@ -89,9 +89,10 @@ def best_route_point(points: DataFrame) -> DataFrame:
     model's grid.
     """
     scored = route_scores(points).where("point_score is not null")
-    w = Window.partitionBy("context")
-    top = F.first(F.struct("latitude", "longitude", "point_score", "name_score", "osm_id", "elevation")).over(w.orderBy(F.desc("point_score"), "distance_m", "point_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = scored.withColumn("top", top)
+    # the best is a minimum by its place in the order, found with partial aggregation
+    place = F.struct((-F.col("point_score")).alias("s"), F.col("distance_m").alias("d"), F.col("point_no").alias("n"))
+    best = scored.groupBy("context").agg(F.min_by(F.struct("latitude", "longitude", "point_score", "name_score", "osm_id", "elevation"), place).alias("top"))
+    rows = scored.join(best, "context")
     apart = F.when(F.col("point_score") >= F.col("top.point_score") - NEAR_BEST, haversine_m(F.col("top.latitude"), F.col("top.longitude"), F.col("latitude"), F.col("longitude")))
     out = rows.groupBy("context").agg(F.max(apart).alias("spread"), F.first("top").alias("top"), F.max(F.coalesce("anchor_uncertainty_m", "radius_m")).alias("anchor"))
     least = F.when(F.col("top.name_score") >= 0.35, 250.0).otherwise(500.0)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import random
 import re
+import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -21,6 +23,8 @@ from phyllary.sources.common import entries, value
 LABEL_FIELDS = {
     "label_transcription": ["labelTranscription", "transcription"], "locality_text": ["localityText", "locality"], "event_date_text": ["eventDateText", "eventDate"], "collector_text": ["collectorText", "recordedBy", "collector"], "elevation_text": ["elevationText", "verbatimElevation"],
 }
+#: Seconds to wait after a rate limit, at most, and by chance (fixed values).
+WAIT, MOST_WAIT, JITTER = 30.0, 300.0, 10.0
 RATE_LIMIT = r"(?i)\b429\b|rate.?limit|too many requests|quota|overloaded"
 MODEL_WORDS, MISSING_WORDS = "model|モデル", "not found|unknown|invalid|unsupported|unavailable|does not exist|not available|permission|access"
 
@@ -137,15 +141,19 @@ def stored_and_missing(requests: DataFrame, store: DataFrame, key: str = "key")
     return requests.join(store.select(key, "answer"), key), requests.join(store.select(key), key, "left_anti").dropDuplicates([key])
 
 
-def ask(requests: DataFrame, client: Callable[[str], str], key: str = "key", prompt: str = "prompt", retries: int = 2) -> DataFrame:
-    """key, answer, error of every request by a client that workers can call; rate limits are tried again, other errors are given."""
+def ask(requests: DataFrame, client: Callable[[str], str], key: str = "key", prompt: str = "prompt", retries: int = 2, wait: float = WAIT, most: float = MOST_WAIT, jitter: float = JITTER) -> DataFrame:
+    """key, answer, error of every request by a client that workers can call. After a rate limit the client is asked again, retries times,
+    each time after twice the wait in seconds, at most most, and up to jitter more by chance, so that workers do not ask all at once;
+    other errors are given."""
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for k, p in zip(b[key], b[prompt], strict=True):
                 answer, error = None, None
-                for _ in range(retries + 1):
+                for turn in range(retries + 1):
+                    if turn:
+                        time.sleep(min(most, wait * 2 ** (turn - 1)) + random.uniform(0, jitter))
                     try:
                         answer, error = client(p), None
                         break

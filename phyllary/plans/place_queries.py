@@ -26,7 +26,7 @@ from phyllary.operators.candidates import anchor_rank, best_by_tier, first_witho
 from phyllary.operators import environment
 from phyllary.operators.environment import distance_sample, habitat_score, habitat_table, nearest_of_list, route_class, tag_classes
 from phyllary.operators.gazetteer import match_places, read_places
-from phyllary.operators.labels import parsed_coordinates
+from phyllary.operators.labels import label_candidates, parsed_coordinates
 from phyllary.operators.proximity import pairs_within
 from phyllary.session import spread, table
 
@@ -117,6 +117,16 @@ def decimal_extract(spark, d):
     return found.select("seq", "c.latitude", "c.longitude", F.regexp_extract("c.precision_kind", r"decimal_(\d+)dp", 1).cast("int").alias("places"))
 
 
+def label_coordinates(spark, d):
+    """The coordinates in the labels' own texts, as candidates, of every reading and candidate (SQL has no grammar for them)."""
+    labels = table(spark, d, "label_reads").select(F.lit("label_reads").alias("table_name"), F.col("label_seq").alias("row_id"), "label_transcription", "elevation_text")
+    candidates = table(spark, d, "coordinate_candidates").select(F.lit("coordinate_candidates").alias("table_name"), F.col("cand_seq").alias("row_id"), "label_transcription", "elevation_text")
+    return label_candidates(spread(labels.unionByName(candidates)), "table_name", "row_id")
+
+
+QUERIES["label_coordinates"] = label_coordinates
+
+
 _U = "(?:meters|metres|meter|metre|feet|foot|ft[.]|ft|m)"
 _RG, _SG = f"(?i)(-?\\d+(?:\\.\\d+)?)\\s*({_U})?\\s*[-–~]\\s*(-?\\d+(?:\\.\\d+)?)\\s*({_U})", f"(?i)(-?\\d+(?:\\.\\d+)?)\\s*({_U})"
 

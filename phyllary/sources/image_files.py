@@ -80,6 +80,38 @@ def image_accounts(files: DataFrame, references: DataFrame) -> DataFrame:
     return flagged.agg(F.count("r").alias("referenced"), (F.count("*") - F.count("r")).alias("unreferenced"))
 
 
+def unreferenced(files: DataFrame, references: DataFrame) -> DataFrame:
+    """path: the files that no row of references refers to, each once. Null and blank references refer to nothing."""
+    return files.select("path").where("path is not null").distinct().join(references.select("path").where("path <> ''").distinct(), "path", "left_anti")
+
+
+def prune_images(spark: SparkSession, folder: str, references: DataFrame) -> DataFrame:
+    """path, removed: the image files below a folder that no record refers to, deleted by the workers that hold them. references: paths
+    below the folder, as records have them. An empty references deletes nothing, as it would delete all."""
+    root = folder.rstrip("/")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("uri"))
+    # paths as records have them: below the folder
+    own = listed.withColumn("path", F.substring_index("uri", root.split("://")[-1] + "/", -1))
+    rest = own.join(unreferenced(own, references), "path") if not references.where("path <> ''").isEmpty() else own.limit(0)
+
+    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem
+
+        for b in batches:
+            done = []
+            for uri in b["uri"]:
+                try:
+                    system, path = FileSystem.from_uri(uri)
+                    system.delete_file(path)
+                    done.append(True)
+                except (OSError, ValueError):
+                    # another attempt of the task may have been first
+                    done.append(False)
+            yield pd.DataFrame({"path": b["path"], "removed": done})
+
+    return in_batches(rest.select("path", "uri"), remove, "path string, removed boolean")
+
+
 def cache_address(record_id: Column, media_url: Column, width: int | None = None) -> Column:
     """The aggregator's image cache: the record's number and the MD5 of the media's address."""
     return F.concat(F.lit("https://api.gbif.org/v1/image/cache/" + (f"{width}x/" if width else "") + "occurrence/"), record_id, F.lit("/media/"), F.md5(media_url))

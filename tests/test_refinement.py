@@ -42,7 +42,7 @@ def test_store_of_answers(spark, tmp_path):
         return p.upper()
 
     for _ in range(2):
-        A.add_answers(spark, store, A.ask(requests, client))
+        A.add_answers(spark, store, A.ask(requests, client, wait=0.01, jitter=0.0))
     hits, misses = A.stored_and_missing(requests, spark.read.parquet(store))
     assert sorted((r.key, r.answer) for r in hits.collect()) == [("a", "P1"), ("a", "P1"), ("b", "P2")] and [r.key for r in misses.collect()] == ["c"]
 

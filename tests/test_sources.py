@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from phyllary.sources.image_files import prune_images
 from phyllary.schema import RECORD_FIELDS
 from phyllary.sources import archives, html_pages, image_files, json_pages, requests
 from phyllary.sources.common import PAGE, page_of, union_components
@@ -165,3 +166,13 @@ def test_images(spark, tmp_path):
     assert image_files.image_accounts(a, a.where("path = 'x'")).first() == (1, 1)
     url = spark.range(1).select(image_files.cache_address(F.lit("3019930399"), F.lit("https://a.example/x.jpg")).alias("u")).first().u
     assert url.startswith("https://api.gbif.org/v1/image/cache/occurrence/3019930399/media/") and len(url.rsplit("/", 1)[1]) == 32
+
+
+def test_unreferenced_images_are_pruned(spark, tmp_path):
+    for name in ("a/1.jpg", "a/2.jpg", "3.png"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    refs = spark.createDataFrame([("a/1.jpg",), ("",), (None,)], "path string")
+    assert prune_images(spark, str(tmp_path), refs.where("path = ''")).count() == 0
+    assert sorted((r.path, r.removed) for r in prune_images(spark, str(tmp_path), refs).collect()) == [("3.png", True), ("a/2.jpg", True)]
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.*g")) == ["a/1.jpg"]
