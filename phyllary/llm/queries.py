@@ -10,7 +10,7 @@ from phyllary.llm.mixing import LISTED, mix_report, mix_sources
 from phyllary.llm.name_variants import link_names, variant_pairs
 from phyllary.llm.packing import pack_items, packing_report
 from phyllary.llm.sentences import split_sentences
-from phyllary.llm.survivors import Bundle, catalogue_key, choose_survivors, names_place, usable_latitude
+from phyllary.llm.survivors import NO_PLACE, Bundle, catalogue_key, choose_survivors, names_place, usable_latitude
 from phyllary.llm.tokens import token_count
 from phyllary.operators.packed import split_packed
 from phyllary.plans.core_queries import known_names
@@ -117,4 +117,30 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_clusters": p6_clusters, "p4_found": p4_found, "p4_bundles": p4_bundles, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p7_within": p7_within, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found}
-SQL: dict[str, str] = {}
+def _holder_sql(c: str) -> str:
+    """An institution as typed, made comparable: small letters without accents, usual additions and marks, short words written out."""
+    x = f"lower(strip_accents({c}))"
+    for short, long in (("univ[.]", "university"), ("nat[.]", "natural"), ("hist[.]", "history"), ("bot[.]", "botanic"), ("gard[.]", "garden"), ("roy[.]", "royal"), ("mus[.]", "museum"), ("inst[.]", "institute"), ("acad[.]", "academy"), ("sci[.]", "sciences"), ("soc[.]", "society"), ("natl[.]", "national"), ("dept[.]", "department")):
+        x = f"regexp_replace({x}, '(^|[^a-z]){short}', '\\1{long} ', 'g')"
+    x = f"trim(regexp_replace(regexp_replace({x}, '^ *(the|herb[.]?|herbarium) | *[(]?(herbarium|herb[.])[)]? *$', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+    return f"case when regexp_full_match({c}, '[ ]*([A-Za-z][ ]*[.][ ]*)+[A-Za-z]?[ ]*') then replace({x}, ' ', '') else {x} end"
+
+
+_LATITUDE = "(case when regexp_full_match(trim(decimal_latitude), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') then try_cast(trim(decimal_latitude) as double) end)"
+_NO_PLACE = ", ".join("'" + p.replace("'", "''") + "'" for p in NO_PLACE)
+P4_SQL = f"""with w as (select entry_id, entry_code, unnest([entry_name, entry_code, aliases]) as word from canonical_entries where kind = 'institution_code'),
+l as (select distinct entry_id, entry_code, {_holder_sql("word")} as word from w where word is not null),
+t as (select distinct institution_code as typed, {_holder_sql("institution_code")} as word from specimen_records where trim(coalesce(institution_code, '')) <> ''),
+m as (select typed, entry_id, entry_code, min(damerau_levenshtein(t.word, l.word)) as d from t, l
+ where damerau_levenshtein(t.word, l.word) <= case when length(t.word) <= 4 then 0 when length(t.word) < 12 then 1 else 2 end group by all),
+h as (select typed, min(entry_code) as code from (select *, min(d) over (partition by typed) as best from m) where d = best group by typed having count(distinct entry_id) = 1),
+c as (select *, replace(replace(upper(coalesce(catalog_number, '')), 'N°', ' '), 'Nº', ' ') as up from specimen_records where regexp_matches(catalog_number, '[0-9]')),
+n as (select *, coalesce(nullif(ltrim(regexp_replace(regexp_extract(up, '[0-9][0-9\\s./-]*'), '[^0-9]', '', 'g'), '0'), ''), '0') as number,
+ array_to_string(list_filter(regexp_extract_all(regexp_extract(up, '^[^0-9]*'), '\\p{{L}}+'), lambda x: x not in ('NO', 'NR', 'NUM', 'NUMBER')), '') as letters from c),
+g as (select n.*, coalesce(nullif(letters, ''), h.code) as holder, coalesce(p.trust_rank, 999999) as trust from n left join h on h.typed = n.institution_code left join source_profiles p using (source)),
+k as (select holder, number, min(seq) as group_seq from g where holder is not null group by all having count(*) > 1),
+u as (select group_seq, seq, trust, coalesce(accessed_at, '') as seen, unnest(['decimal_latitude', 'locality']) as field_name,
+ unnest([coalesce({_LATITUDE} between -90 and 90 and {_LATITUDE} <> 0, false), lower(trim(coalesce(locality, ''))) not in ({_NO_PLACE}) and regexp_matches(coalesce(locality, ''), '\\p{{L}}')]) as usable from g join k using (holder, number))
+select group_seq, field_name, seq from (select *, row_number() over (partition by group_seq, field_name order by trust, seen desc, seq) as rn from u where usable) where rn = 1"""
+
+SQL: dict[str, str] = {"p4_found": P4_SQL}
