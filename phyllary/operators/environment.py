@@ -66,85 +66,74 @@ TAG_RULES = [
 ]
 
 #: Habitats: key | other names | expected classes | avoided classes | lowest | highest elevation | wilderness (fixed values).
-HABITATS = """
-city|urban,built-up|built_up||||
-ruderal|disturbed,waste ground|built_up agriculture||||
-roadside|road verge|transport built_up||||
-agricultural|farmland,cropland|agriculture||||
-paddy field|rice field,paddy|agriculture wetland||||
-plantation||forest agriculture||||
-orchard||agriculture||||
-forest|woodland|forest|built_up|||w
-lowland forest||forest|built_up||1200|w
-temperate forest||forest|built_up|||w
-boreal forest|taiga|forest|built_up|||w
-tropical rainforest|rainforest|forest|built_up desert|||w
-dry forest||forest shrubland|built_up|||w
-cloud forest||forest|built_up desert|400||w
-montane forest||forest|built_up|400||w
-subalpine forest|sub-alpine forest|forest|built_up|600||w
-alpine|alpine meadow|grassland bare_rock snow_ice|built_up|800||w
-shrubland|scrub|shrubland|built_up|||w
-heathland|heath|heath shrubland|built_up|||w
-grassland||grassland|built_up|||
-meadow||grassland||||
-savanna||grassland shrubland forest|built_up|||w
-steppe||grassland shrubland|built_up|||w
-tundra||moss_lichen grassland shrubland snow_ice|built_up|||w
-wetland||wetland water|built_up|||
-marsh||wetland water|built_up|||
-swamp||wetland forest water|built_up|||
-bog||wetland peatland|built_up|||
-fen||wetland peatland|built_up|||
-peatland|peat bog|peatland wetland|built_up|||
-riparian|riverine,streamside|river wetland|built_up|||
-river||river water||||
-stream|creek,brook,ravine|river water||||
-spring|seep,seepage|spring water wetland||||
-waterfall spray zone|waterfall,spray zone|waterfall river water||||
-lake||standing_water water||||
-pond||standing_water water||||
-freshwater aquatic|freshwater,aquatic|water river standing_water||||
-brackish||estuary coast water|||100|
-estuary||estuary coast water|||100|
-mangrove||mangrove wetland coast|built_up||50|
-salt marsh||wetland coast|||50|
-sea|marine,ocean|marine coast water|built_up||100|
-seagrass meadow|seagrass|marine coast water|||20|
-intertidal|tidal|coast marine wetland|||30|
-rocky shore||coast bare_rock|||100|
-beach||beach coast sand|||100|
-coastal dune|coastal sand dune|sand coast|||150|
-desert||desert sand bare_rock|forest wetland|||w
-semi-desert|semidesert|desert shrubland bare_rock|wetland|||w
-inland dune|sand dune,dune|sand desert|wetland|||w
-limestone|calcareous|limestone karst bare_rock||||
-karst||karst limestone cave bare_rock||||
-ultramafic|serpentine,serpentinite|ultramafic bare_rock||||
-volcanic|lava|volcanic bare_rock||||
-geothermal|hot spring|geothermal spring bare_rock||||
-gypsum||gypsum bare_rock||||
-saline|salt flat|saline bare_rock||||
-rock outcrop|rocky outcrop,bare rock|bare_rock||||
-cliff||cliff bare_rock||||
-scree|talus|scree bare_rock||||
-cave||cave karst||||
-epiphytic|epiphyte|forest||||
-canopy||forest||||
-soil||||||
-rock crevice||bare_rock cliff||||
-"""
-
-
-def _habitat_rows() -> list[tuple]:
-    rows = []
-    for line in HABITATS.strip().splitlines():
-        key, others, expected, avoided, low, high, wild = line.split("|")
-        rows.append((key, [o for o in others.split(",") if o], expected.split(), avoided.split(), int(low or 0), int(high or 0), wild == "w"))
-    return rows
-
-
-HABITAT_ROWS = _habitat_rows()
+HABITAT_ROWS = [
+    ("city", ["urban", "built-up"], ["built_up"], [], 0, 0, False),
+    ("ruderal", ["disturbed", "waste ground"], ["built_up", "agriculture"], [], 0, 0, False),
+    ("roadside", ["road verge"], ["transport", "built_up"], [], 0, 0, False),
+    ("agricultural", ["farmland", "cropland"], ["agriculture"], [], 0, 0, False),
+    ("paddy field", ["rice field", "paddy"], ["agriculture", "wetland"], [], 0, 0, False),
+    ("plantation", [], ["forest", "agriculture"], [], 0, 0, False),
+    ("orchard", [], ["agriculture"], [], 0, 0, False),
+    ("forest", ["woodland"], ["forest"], ["built_up"], 0, 0, True),
+    ("lowland forest", [], ["forest"], ["built_up"], 0, 1200, True),
+    ("temperate forest", [], ["forest"], ["built_up"], 0, 0, True),
+    ("boreal forest", ["taiga"], ["forest"], ["built_up"], 0, 0, True),
+    ("tropical rainforest", ["rainforest"], ["forest"], ["built_up", "desert"], 0, 0, True),
+    ("dry forest", [], ["forest", "shrubland"], ["built_up"], 0, 0, True),
+    ("cloud forest", [], ["forest"], ["built_up", "desert"], 400, 0, True),
+    ("montane forest", [], ["forest"], ["built_up"], 400, 0, True),
+    ("subalpine forest", ["sub-alpine forest"], ["forest"], ["built_up"], 600, 0, True),
+    ("alpine", ["alpine meadow"], ["grassland", "bare_rock", "snow_ice"], ["built_up"], 800, 0, True),
+    ("shrubland", ["scrub"], ["shrubland"], ["built_up"], 0, 0, True),
+    ("heathland", ["heath"], ["heath", "shrubland"], ["built_up"], 0, 0, True),
+    ("grassland", [], ["grassland"], ["built_up"], 0, 0, False),
+    ("meadow", [], ["grassland"], [], 0, 0, False),
+    ("savanna", [], ["grassland", "shrubland", "forest"], ["built_up"], 0, 0, True),
+    ("steppe", [], ["grassland", "shrubland"], ["built_up"], 0, 0, True),
+    ("tundra", [], ["moss_lichen", "grassland", "shrubland", "snow_ice"], ["built_up"], 0, 0, True),
+    ("wetland", [], ["wetland", "water"], ["built_up"], 0, 0, False),
+    ("marsh", [], ["wetland", "water"], ["built_up"], 0, 0, False),
+    ("swamp", [], ["wetland", "forest", "water"], ["built_up"], 0, 0, False),
+    ("bog", [], ["wetland", "peatland"], ["built_up"], 0, 0, False),
+    ("fen", [], ["wetland", "peatland"], ["built_up"], 0, 0, False),
+    ("peatland", ["peat bog"], ["peatland", "wetland"], ["built_up"], 0, 0, False),
+    ("riparian", ["riverine", "streamside"], ["river", "wetland"], ["built_up"], 0, 0, False),
+    ("river", [], ["river", "water"], [], 0, 0, False),
+    ("stream", ["creek", "brook", "ravine"], ["river", "water"], [], 0, 0, False),
+    ("spring", ["seep", "seepage"], ["spring", "water", "wetland"], [], 0, 0, False),
+    ("waterfall spray zone", ["waterfall", "spray zone"], ["waterfall", "river", "water"], [], 0, 0, False),
+    ("lake", [], ["standing_water", "water"], [], 0, 0, False),
+    ("pond", [], ["standing_water", "water"], [], 0, 0, False),
+    ("freshwater aquatic", ["freshwater", "aquatic"], ["water", "river", "standing_water"], [], 0, 0, False),
+    ("brackish", [], ["estuary", "coast", "water"], [], 0, 100, False),
+    ("estuary", [], ["estuary", "coast", "water"], [], 0, 100, False),
+    ("mangrove", [], ["mangrove", "wetland", "coast"], ["built_up"], 0, 50, False),
+    ("salt marsh", [], ["wetland", "coast"], [], 0, 50, False),
+    ("sea", ["marine", "ocean"], ["marine", "coast", "water"], ["built_up"], 0, 100, False),
+    ("seagrass meadow", ["seagrass"], ["marine", "coast", "water"], [], 0, 20, False),
+    ("intertidal", ["tidal"], ["coast", "marine", "wetland"], [], 0, 30, False),
+    ("rocky shore", [], ["coast", "bare_rock"], [], 0, 100, False),
+    ("beach", [], ["beach", "coast", "sand"], [], 0, 100, False),
+    ("coastal dune", ["coastal sand dune"], ["sand", "coast"], [], 0, 150, False),
+    ("desert", [], ["desert", "sand", "bare_rock"], ["forest", "wetland"], 0, 0, True),
+    ("semi-desert", ["semidesert"], ["desert", "shrubland", "bare_rock"], ["wetland"], 0, 0, True),
+    ("inland dune", ["sand dune", "dune"], ["sand", "desert"], ["wetland"], 0, 0, True),
+    ("limestone", ["calcareous"], ["limestone", "karst", "bare_rock"], [], 0, 0, False),
+    ("karst", [], ["karst", "limestone", "cave", "bare_rock"], [], 0, 0, False),
+    ("ultramafic", ["serpentine", "serpentinite"], ["ultramafic", "bare_rock"], [], 0, 0, False),
+    ("volcanic", ["lava"], ["volcanic", "bare_rock"], [], 0, 0, False),
+    ("geothermal", ["hot spring"], ["geothermal", "spring", "bare_rock"], [], 0, 0, False),
+    ("gypsum", [], ["gypsum", "bare_rock"], [], 0, 0, False),
+    ("saline", ["salt flat"], ["saline", "bare_rock"], [], 0, 0, False),
+    ("rock outcrop", ["rocky outcrop", "bare rock"], ["bare_rock"], [], 0, 0, False),
+    ("cliff", [], ["cliff", "bare_rock"], [], 0, 0, False),
+    ("scree", ["talus"], ["scree", "bare_rock"], [], 0, 0, False),
+    ("cave", [], ["cave", "karst"], [], 0, 0, False),
+    ("epiphytic", ["epiphyte"], ["forest"], [], 0, 0, False),
+    ("canopy", [], ["forest"], [], 0, 0, False),
+    ("soil", [], [], [], 0, 0, False),
+    ("rock crevice", [], ["bare_rock", "cliff"], [], 0, 0, False),
+]
 
 
 def habitat_table(spark: SparkSession) -> DataFrame:

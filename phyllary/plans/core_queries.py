@@ -97,7 +97,42 @@ def _degrees(c: str) -> str:
     return f"(case when regexp_full_match(trim({c}), '[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?') then try_cast(trim({c}) as double) end)"
 
 
+#: Altitudes in SQL: numbers, words of units with their metres, spans and single altitudes.
+_NUM = r"-?[0-9]{1,3}(?:[, ][0-9]{3})+|-?[0-9]+(?:[.,][0-9]+)?"
+_UNITS = {"kilometres km": 1000, "metres mètres meters metre meter masl метров м 公尺 メートル 米 m": 1, "feet foot pieds pied Fuß Fuss pies pie ped фут 英尺 ft '": 0.3048, "yards yard yds yd": 0.9144}
+_UNIT = "|".join(sorted((w for words in _UNITS for w in words.split()), key=len, reverse=True))
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_SPAN = _quoted(rf"(?i)({_NUM})\s*(?:({_UNIT})\.?(?:\s*(?:a\.s\.l\.|s\.n\.m\.|s\.m\.|ü\. M\.|над ур\. м\.|above sea level))?)?\s*(?:-|–|to|and)\s*({_NUM})\s*({_UNIT})")
+_ONE = _quoted(rf"(?i)({_NUM})\s*({_UNIT})(?:[^a-zA-Zа-яА-Я]|$|\s)")
+
+
+def _figure(c: str) -> str:
+    return f"(case when regexp_full_match({c}, '-?[0-9]{{1,3}}(?:[, ][0-9]{{3}})+') then replace(replace({c}, ',', ''), ' ', '') else replace({c}, ',', '.') end)::decimal(18,6)"
+
+
+def _factor(c: str) -> str:
+    return "case " + " ".join(f"when regexp_full_match({c}, '(?i)(?:{_quoted('|'.join(words.split()))})') then {f}" for words, f in _UNITS.items()) + " end"
+
+
+P5_SQL = f"""with s as (select 'specimen_records' as table_name, seq as row_id, elevation as text, elevation_unit as unit from specimen_records left join source_profiles using (source)
+ union all select 'label_reads', label_seq, elevation_text, null from label_reads),
+c as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^Sheet [0-9]+ of [0-9]+[.] ', ''), '; [0-9]+ plants seen$', ''), '^Slope [0-9]+°, |, trunk [0-9]+ cm thick$', '', 'g'), '^[0-9]+ km N of bridge; ', '') as t
+ from s where regexp_matches(text, '[0-9]')),
+p as (select *, regexp_matches(t, '{_SPAN}') as pair, regexp_matches(t, '{_ONE}') as one, regexp_full_match(t, '{_NUM}') as bare, regexp_matches(t, 'below sea level') as below from c),
+n as (select table_name, row_id, text, case when pair then regexp_extract(t, '{_SPAN}', 1) when one then regexp_extract(t, '{_ONE}', 1) when bare then t end as a,
+ case when pair then coalesce(nullif(regexp_extract(t, '{_SPAN}', 2), ''), regexp_extract(t, '{_SPAN}', 4)) when one then regexp_extract(t, '{_ONE}', 2) when bare then unit end as ua,
+ case when pair then regexp_extract(t, '{_SPAN}', 3) end as b, case when pair then regexp_extract(t, '{_SPAN}', 4) end as ub, regexp_extract(t, '[(]({_NUM}) m[)]', 1) as metric, below from p),
+v as (select *, floor((case when metric <> '' then {_figure("metric")} else {_figure("a")} * {_factor("ua")} * case when below then -1 else 1 end end)::decimal(18,6) + 0.5)::bigint as lo,
+ floor(({_figure("b")} * {_factor("ub")})::decimal(18,6) + 0.5)::bigint as hi from n where ua is not null)
+select table_name, row_id, least(lo, coalesce(hi, lo)) as low_m, greatest(lo, coalesce(hi, lo)) as high_m from v where lo is not null and not regexp_full_match(text, '-?[0-9]+ m')"""
+
 SQL = {
+    "p5_found": P5_SQL,
     "p3_found": f"""with r as (select seq, {_degrees("decimal_latitude")} as a, {_degrees("decimal_longitude")} as o from specimen_records),
 c as (select cand_seq, {_degrees("candidate_latitude")} as b, {_degrees("candidate_longitude")} as p from coordinate_candidates),
 x as (select *, pow(sin(radians(b - a) / 2), 2) + cos(radians(a)) * cos(radians(b)) * pow(sin(radians(p - o) / 2), 2) as h from r join c on abs(a - b) < 0.0046
